@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import tokens
+from weftgraph.llm import residue, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": residue.p1_found,
+        "p1_kept": residue.p1_kept,
         "p8_ids": tokens.p8_ids,
     }
 
