@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import residue, tokens
+from weftgraph.llm import neardup, residue, sitelines, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": residue.p1_found,
         "p1_kept": residue.p1_kept,
+        "p3_found": sitelines.p3_found,
+        "p3_cleaned": sitelines.p3_cleaned,
+        "p5_found": neardup.p5_found,
         "p8_ids": tokens.p8_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": sitelines.P3_FOUND_SQL,
+    }

@@ -53,7 +53,7 @@ FORMS = {
 }
 _FORM = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()))
 EXAMPLES = ["{{name}}", "{{{name}}}", "${name}", "#{name}", "@{name}", "[[name]]", "<%= name %>", "<?php echo $name; ?>", "%(name)s", "%s, %d", "*|NAME|*", "__NAME__", "XXXX-NAME-XXXX", "«NAME»", "TODO: write NAME", "[INSERT NAME HERE]", "<NAME>", "%%NAME%%", "{% block name %}", "{0}", "[object Object]", "undefined undefined", "{name}"]
-_HINT = re.compile(r"[{}<\[«*|%]|__|XX|TODO|FIXME|TBD|undefined|null|NaN|None")
+_HINT = re.compile(r"[{%][{%(sd\w]|%>|\[\[|\[[^\]\n]{0,30}[A-Z]{3}|«[A-Z]{3}|<[%?A-Z]|\*\||__[A-Z]|XXX|TODO|FIXME|TBD|undefined|null|NaN|None|\[object")
 _ADDRESS = re.compile(
     r"\{|\}|%7[bBdD]|\$\{|\[\w[^\]]*\]|%5[bBdD]|%(?:25|20)?[A-Z][A-Z_]+%|<[^>]*>|/(?:undefined|null|NaN|None)(?=[/?#]|$)|\[object|(?:%25)[A-Z_]+(?:%25)"
 )
