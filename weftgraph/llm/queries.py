@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import neardup, residue, sitelines, tokens
+from weftgraph.llm import neardup, residue, sitelines, tokens, truncated
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_cleaned": sitelines.p3_cleaned,
         "p5_found": neardup.p5_found,
         "p8_ids": tokens.p8_ids,
+        "p10_found": truncated.p10_found,
+        "p10_shares": truncated.p10_shares,
     }
 
 
