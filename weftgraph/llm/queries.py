@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import neardup, residue, sitelines, tokens, truncated
+from weftgraph.llm import langid, neardup, residue, sitelines, tokens, truncated
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": residue.p1_found,
         "p1_kept": residue.p1_kept,
+        "p2_found": langid.p2_found,
+        "p2_segments": langid.p2_segments,
         "p3_found": sitelines.p3_found,
         "p3_cleaned": sitelines.p3_cleaned,
         "p5_found": neardup.p5_found,
