@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import langid, neardup, residue, scans, sitelines, tokens, truncated
+from weftgraph.llm import langid, neardup, pii, residue, scans, sitelines, tokens, truncated
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": neardup.p5_found,
         "p6_found": scans.p6_found,
         "p6_repaired": scans.p6_repaired,
+        "p7_found": pii.p7_found,
+        "p7_redacted": pii.p7_redacted,
         "p8_ids": tokens.p8_ids,
         "p10_found": truncated.p10_found,
         "p10_shares": truncated.p10_shares,
