@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import langid, neardup, pii, residue, scans, sitelines, tokens, truncated
+from weftgraph.llm import langid, names, neardup, pii, residue, scans, sitelines, tokens, truncated
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_segments": langid.p2_segments,
         "p3_found": sitelines.p3_found,
         "p3_cleaned": sitelines.p3_cleaned,
+        "p4_found": names.p4_found,
         "p5_found": neardup.p5_found,
         "p6_found": scans.p6_found,
         "p6_repaired": scans.p6_repaired,
