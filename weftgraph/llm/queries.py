@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import langid, names, neardup, pii, residue, scans, sitelines, tokens, truncated
+from weftgraph.llm import langid, mixture, names, neardup, pii, residue, scans, sitelines, tokens, truncated
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": pii.p7_found,
         "p7_redacted": pii.p7_redacted,
         "p8_ids": tokens.p8_ids,
+        "p9_shares": mixture.p9_shares,
+        "p9_mixture": mixture.p9_mixture,
         "p10_found": truncated.p10_found,
         "p10_shares": truncated.p10_shares,
     }
