@@ -22,9 +22,9 @@ def load(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable on the executors of a cluster; does nothing in local mode or the second time."""
+    """Make the package importable in the Python workers, once for each application."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="weftgraph-"), "weftgraph.zip")
