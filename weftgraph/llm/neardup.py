@@ -31,6 +31,9 @@ RUN, LEAST_WORDS, SIMILARITY = 3, 50, 0.6
 #: Rows of a band and number of bands. A pair of similarity s is a candidate with probability 1 - (1 - s^rows)^bands.
 BAND_ROWS, BANDS = 5, 48
 
+#: Standard errors, about 0.4 each, by which a pair's differing bits may exceed the expectation at the least similarity.
+SLACK = 1.7
+
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -121,8 +124,15 @@ def band_keys(names: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def bit_signature(names: np.ndarray) -> np.ndarray:
+    """One bit of every place, as 64-bit words; unequal places agree in half of all cases."""
+    bits = (mix(names) & _U(1)).astype(np.uint8)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _sketch(rows: int, bands: int):
-    schema = pa.schema([("item_id", pa.int64()), ("print", pa.int64()), ("bands", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32()))])
+    schema = pa.schema([("item_id", pa.int64()), ("print", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -137,7 +147,9 @@ def _sketch(rows: int, bands: int):
                 sizes = np.fromiter(map(len, sets), np.int32, len(sets))
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), np.concatenate(sets))
                 groups = pa.ListArray.from_arrays(np.arange(len(index) + 1, dtype=np.int32) * bands, keys.reshape(-1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(prints.view(np.int64)), groups, lists], schema=schema)
+                packed = bit_signature(names)
+                bits = pa.ListArray.from_arrays(np.arange(len(index) + 1, dtype=np.int32) * packed.shape[1], packed.reshape(-1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(prints.view(np.int64)), groups, bits, lists], schema=schema)
 
     return run
 
@@ -146,7 +158,7 @@ def sketches(df: DataFrame, key: str, text: str, rows: int = BAND_ROWS, bands: i
     """Fingerprint, band keys and distinct runs of every row with enough words, written once."""
     ship(df.sparkSession)
     source = spread(df.select(F.col(key).cast("bigint").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
-    return cut(source.mapInArrow(_sketch(rows, bands), "item_id bigint, print bigint, bands array<bigint>, runs array<int>"))
+    return cut(source.mapInArrow(_sketch(rows, bands), "item_id bigint, print bigint, bands array<bigint>, bits array<bigint>, runs array<int>"))
 
 
 def classes(sketch: DataFrame) -> DataFrame:
@@ -155,14 +167,23 @@ def classes(sketch: DataFrame) -> DataFrame:
     return sketch.select("item_id", "print").join(reps, "print").select("item_id", "rep", "members")
 
 
-def similar_reps(sketch: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (rep_a, rep_b, similarity) of class representatives, rep_a < rep_b."""
+def similar_reps(sketch: DataFrame, members: DataFrame, similarity: float = SIMILARITY, places: int = BAND_ROWS * BANDS) -> DataFrame:
+    """Verified pairs (rep_a, rep_b, similarity) of class representatives, rep_a < rep_b.
+
+    Candidates whose bit signatures are far from the similarity leave before the runs are joined.
+    """
     reps = sketch.join(members.where("item_id = rep").select("item_id"), "item_id", "left_semi")
     keyed = reps.select("item_id", F.explode("bands").alias("band"))
     a, b = keyed.select("band", F.col("item_id").alias("rep_a")), keyed.select("band", F.col("item_id").alias("rep_b"))
     pairs = a.join(b, "band").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    bits = sketch.select("item_id", "bits")
+    seen = pairs.join(bits.select(F.col("item_id").alias("rep_a"), F.col("bits").alias("bits_a")), "rep_a").join(
+        bits.select(F.col("item_id").alias("rep_b"), F.col("bits").alias("bits_b")), "rep_b"
+    )
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    likely = seen.where(differ <= places * (0.5 * (1 - similarity) + SLACK / places**0.5)).select("rep_a", "rep_b")
     runs = sketch.select("item_id", "runs")
-    both = pairs.join(runs.select(F.col("item_id").alias("rep_a"), F.col("runs").alias("runs_a")), "rep_a").join(
+    both = likely.join(runs.select(F.col("item_id").alias("rep_a"), F.col("runs").alias("runs_a")), "rep_a").join(
         runs.select(F.col("item_id").alias("rep_b"), F.col("runs").alias("runs_b")), "rep_b"
     )
     common = F.size(F.array_intersect("runs_a", "runs_b"))
