@@ -106,7 +106,8 @@ def candidates(text: str, given: set[str]) -> list[Candidate]:
     for m in _MASTER.finditer(text):
         kind, a, b = m.lastgroup, m.start(), m.end()
         if kind == "code":
-            out.append((ID, a, b, 1))
+            if _DIGIT.search(text, a, b):
+                out.append((ID, a, b, 1))
         elif kind == "number":
             s = m.group()
             if s[0] == "(" and ")" not in s:
@@ -177,7 +178,7 @@ def features(text: str, c: Candidate, lex: Lexicon) -> list[int]:
         kinds = {x.strip()[:1] or " " for x in seps}
         row[5] = 0 if not seps else 6 if len(kinds) > 1 else {" ": 1, ".": 2, "-": 3, "/": 4}.get(next(iter(kinds)), 5)
         row[10] = int(form == 1)
-        groups = [len(g) for g in _DIGITS.findall(s)]
+        groups = [len(g) for g in _DIGITS.findall(s)] or [0]
         row[11], row[12], row[13] = min(31, groups[0]), min(31, groups[-1]), min(31, max(groups))
         row[14] = 1 if "," in text[b : b + 1] and text[b + 1 : b + 4].strip()[:1].isdigit() else 2 if _GLUED.search(text[max(0, a - 4) : a]) else 0
         row[15] = int(_DATE.fullmatch(s) is not None)
