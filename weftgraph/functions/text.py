@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.constants import COMMON_WORDS, INVALID_WORDS, NAV_WORDS
 
@@ -79,14 +80,14 @@ def good_blocks(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n\n"), strip), good)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """Letters without accents; null stays null."""
     special = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "æ": "ae", "Æ": "AE", "œ": "oe"})
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x.translate(special)) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-matching-blocks ratio, at least 0.9 for containment and 0.88 for a subset of words."""
 
@@ -104,7 +105,7 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def chunks(s: pd.Series) -> pd.Series:
     """Chunks of at most 2,500 characters: paragraphs packed, long ones split at sentences, then words."""
     most = 2500

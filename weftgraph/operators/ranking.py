@@ -72,14 +72,17 @@ def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def classify_relation(text: Column) -> Column:
-    """Best relation type of a sentence: 3 for a verb, 2 for a noun, 1 for a preposition; a verb or noun is needed; ties go to the earlier type."""
-    words = F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z-]+", " ")), " "))
-    options = []
-    for k, (name, (verbs, nouns, preps)) in enumerate(RELATION_TYPES.items()):
-        v, n, p = (F.arrays_overlap(words, _list(x.split())).cast("int") for x in (verbs, nouns, preps))
-        options.append(F.when((v + n) > 0, F.struct((3 * v + 2 * n + p).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("relation"))))
-    return F.greatest(*options)
+def classify_relations(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, relation, score) of the best relation type: 3 for a verb, 2 for a noun, 1 for a preposition; a verb or noun is needed; ties go to the earlier type.
+
+    The words of a text meet the fixed word list, which has about 200 rows and is broadcast.
+    """
+    listed = [(w, name, k, c) for k, (name, parts) in enumerate(RELATION_TYPES.items()) for c, words in zip((3, 2, 1), parts, strict=True) for w in words.split()]
+    table = F.broadcast(df.sparkSession.createDataFrame(listed, "word string, relation string, place int, points int"))
+    words = F.array_distinct(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z-]+", " ")), " "))
+    hits = df.select(key, F.explode(words).alias("word")).join(table, "word").select(key, "relation", "place", "points").distinct()
+    scored = hits.groupBy(key, "relation", "place").agg(F.sum("points").alias("score"), F.max("points").alias("top")).where("top > 1")
+    return scored.groupBy(key).agg(F.max(F.struct("score", (-F.col("place")).alias("p"), "relation")).alias("r")).select(key, "r.relation", "r.score")
 
 
 def pattern_relations(df: DataFrame, key: str, text: str) -> DataFrame:
