@@ -211,10 +211,10 @@ def edge_aggregate(spark, d):
     return e.withColumn("n_evidence", F.col("n_evidence").cast("bigint")).withColumn("confidence", F.round("confidence", 6))
 
 
-@_query("""SELECT o_custkey, round(list_reduce(list((o_orderkey % 100) / 100.0 ORDER BY o_orderkey)::DOUBLE[], lambda x, y: (x + y) / 2), 4) AS confidence FROM orders GROUP BY 1""")
+@_query("""SELECT o_custkey, round(list_reduce(list((o_orderkey % 97)::DOUBLE / 97 ORDER BY o_orderkey), lambda x, y: (x + y) / 2), 6) AS confidence FROM orders GROUP BY 1""")
 def edge_confidence_fold(spark, d):
-    o = load(spark, d, "orders", "o_custkey", "o_orderkey").withColumn("c", (F.col("o_orderkey") % 100) / 100.0)
-    return evidence.folded_confidence(o, "o_custkey", "c", "o_orderkey").withColumn("confidence", F.round("confidence", 4))
+    o = load(spark, d, "orders", "o_custkey", "o_orderkey").withColumn("c", (F.col("o_orderkey") % 97) / F.lit(97.0))
+    return evidence.folded_confidence(o, "o_custkey", "c", "o_orderkey").withColumn("confidence", F.round("confidence", 6))
 
 
 @_query("""WITH k AS (SELECT source_url, relation_type, count(*) AS n, min(prov_id) AS f FROM provenance WHERE relation_type IS NOT NULL GROUP BY ALL)
