@@ -22,6 +22,8 @@ from weftgraph.runtime import cut, host, load, spread
 LEAST_ROWS, LEAST_SHARE = 8, 0.2
 #: False discovery rate.
 FDR = 0.05
+#: What is added to the outside, so that a line that all sites repeat, or a single site's, has a background.
+PRIOR_HITS, PRIOR_ROWS = 0.5, 50
 #: Width and number of the bins of -ln p in which the step-up rule ranks; the table of bins is all that one task sees.
 BIN, BINS = 0.05, 20_000
 
@@ -71,8 +73,8 @@ def excess_lines(rows: DataFrame, least_rows: int = LEAST_ROWS, least_share: flo
         large.join(outside, "key")
         .join(F.broadcast(total))  # one row
         .withColumn("n0", F.greatest(F.col("all_rows") - F.col("n_large"), F.col("k0")))
-        .withColumn("g2", _g2(F.col("k"), F.col("n"), F.col("k0"), F.col("n0")))
-        .where(F.col("k") * F.greatest(F.col("n0"), F.lit(1)) > F.col("k0") * F.col("n"))
+        .withColumn("g2", _g2(F.col("k"), F.col("n"), F.col("k0") + PRIOR_HITS, F.col("n0") + PRIOR_ROWS))
+        .where(F.col("k") * (F.col("n0") + PRIOR_ROWS) > (F.col("k0") + PRIOR_HITS) * F.col("n"))
         # the tail of chi-square with one degree of freedom is at most exp(-g/2) / sqrt(pi g / 2)
         .withColumn("strength", F.greatest(F.lit(0.0), F.col("g2") / 2 + 0.5 * F.log(F.greatest(F.col("g2"), F.lit(1e-9)) * 1.5707963)))
         .withColumn("bin", F.least(F.floor(F.col("strength") / BIN), F.lit(BINS)).cast("int"))
