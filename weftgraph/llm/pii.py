@@ -103,6 +103,16 @@ def candidates(text: str, given: set[str]) -> list[Candidate]:
             if not m.lastgroup or out[-1][3] == 0 or " at " not in m.group():
                 rest = rest[:a] + " " * (b - a) + rest[b:]
         text = rest
+    words = text.split(" ")
+    if not given.isdisjoint(words):  # names typed in lower case
+        at = 0
+        for i, w in enumerate(words):
+            if w in given and i + 1 < len(words):
+                middle = len(words[i + 1]) == 2 and words[i + 1][1] == "." and i + 2 < len(words)
+                last = words[i + 1 + middle].rstrip(",.;:()?!")
+                if len(last) > 4 and last.isalpha() and last.islower():
+                    out.append((NAME, at, at + len(w) + 1 + 3 * middle + len(last), 3))
+            at += len(w) + 1
     for m in _MASTER.finditer(text):
         kind, a, b = m.lastgroup, m.start(), m.end()
         if kind == "code":
@@ -134,8 +144,10 @@ def candidates(text: str, given: set[str]) -> list[Candidate]:
             whole = (a + toks[0][0], a + toks[-1][0] + len(toks[-1][1]))
             out.append((NAME, *whole, 0))
             low = [t.lower().strip(".") for _, t in toks]
-            for k in range(1, len(toks) - 1):  # a sentence's first word or a place may stand before
-                if low[k] in given and low[k - 1] not in given or len(low[k]) == 1 and toks[k][1].endswith(".") and k == 1 and low[0] not in given:
+            if len(toks) > 2 and low[0] not in given and len(low[0]) > 1:
+                out.append((NAME, a + toks[1][0], whole[1], 1))  # a sentence's first word may stand before
+            for k in range(2, len(toks) - 1):  # or a place
+                if low[k] in given and low[k - 1] not in given:
                     out.append((NAME, a + toks[k][0], whole[1], 1))
     return out
 
