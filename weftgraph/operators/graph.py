@@ -50,7 +50,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = ends(current)
         least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("m"))
         large = both.join(least, "node").where(F.col("other") > F.col("node")).select(F.col("m").alias("src"), F.col("other").alias("dst")).where("src <> dst").distinct()
-        large = cut(large)
         small_least = large.groupBy("dst").agg(F.min("src").alias("m"))
         joined = large.join(small_least, "dst")
         small = joined.select("m", "src").where("m <> src").unionByName(joined.select("m", F.col("dst").alias("src"))).select(F.col("m").alias("src"), F.col("src").alias("dst")).where("src <> dst").distinct()
