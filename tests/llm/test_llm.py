@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import langid, linear, mixture, names, neardup, pii, residue, scans, sitelines, tokens, truncated
 
@@ -108,6 +109,19 @@ def test_scans():
     assert reader.damage([""]) == []
 
 
+def test_scans_rare_words(spark):
+    page = ["the council met with mibrencilctti in the town hall again", "and the budget was approved there by oldrich kamandil-", "quez before the loan of the second council was rejected", "after which the council of the town went home at once."]
+    long = "the " * 1_000_000  # so that words seen four times are below the table's frequency
+    rows = [(1, "\n".join(page)), *((k, long) for k in (2, 3, 4)), *((k, "mibrenciletti kamandilquez kamandil quez " + "x" * 90) for k in (5, 6, 7, 8))]
+    df = spark.createDataFrame(rows, "item_id long, raw_content string")
+    table, least = scans.frequent(scans.word_counts(df.select("raw_content")))
+    assert least > 4 and "mibrenciletti" not in table
+    assert {tuple(r) for r in scans.damaged_lines(df).collect()} == {(1, 0, "ocr"), (1, 1, "hyphen")}
+    assert "met with mibrenciletti in the town hall again and the budget was approved there by oldrich kamandilquez before" in scans.repaired(df).first().text
+    pairs = spark.createDataFrame([("x" + a + "y", "x" + b + "y") for a, b in scans.CONFUSIONS], "a string, b string")
+    assert pairs.where(scans.confusion_key(F.col("a")) != scans.confusion_key(F.col("b"))).count() == 0
+
+
 def test_pii():
     texts = [f"{g} {s}escu can be reached at +34 600 00 4{k % 10} 47 after six." for k, (g, s) in enumerate((g, s) for g in ("Maria", "Ioana", "Petru", "Vasile", "Robert") for s in ("Pop", "Ion", "Stan", "Marin", "Luca", "Dan", "Rad"))]
     model = pii.train(texts)

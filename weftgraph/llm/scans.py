@@ -7,8 +7,10 @@ A line end broke a word if the corpus knows the joined word, or knows neither it
 one and the rest begins in lower case. A word is misread if undoing common confusions of shapes
 gives a word that the corpus holds far more often.
 
-Word counts come from all rows. Words below a fixed relative frequency leave the table before it is
-sent out, which bounds its size by the inverse of that frequency whatever the corpus' size.
+Word counts come from all rows. The frequent words are sent out as a table whose size is bounded by
+the inverse of the least relative frequency; they decide most words. What they leave open is joined
+with all counts: a word and every word that it may be a misreading of share a key, so each open word
+meets its few candidates whatever the corpus' size, and the answers go back to the rows that ask.
 
 Null and blank texts give no lines. Line numbers count every line of the text, blank ones too.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.runtime import cut, load, ship, spread
 
-#: Least relative frequency of a word in the table, which therefore has at most 1 / RARE entries; least count.
+#: Least relative frequency of a word in the sent table, which therefore has at most 1 / RARE entries; least count.
 RARE, LEAST_COUNT = 2e-6, 3
 #: How much more frequent the corrected word must be.
 RATIO = 100
@@ -38,6 +40,10 @@ CONFUSIONS = [
     ("5", "s"), ("6", "b"), ("9", "g"), ("8", "b"), ("3", "з"), ("8", "в"), ("0", "о"), ("н", "и"), ("п", "н"), ("m", "rn"), ("d", "cl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("1", "i"), ("6", "б"), ("h", "b"),
 ]
 
+#: What the letters of a key stand for: both sides of every confusion have one key.
+_SINGLE = ("cofl10о59683вбнп", "eatiiaasgbbзbbии")
+_PLURAL = [("m", "rri"), ("n", "ri"), ("u", "ii"), ("d", "ei"), ("h", "ii"), ("b", "ii"), ("w", "vv"), ("ﬁ", "ti"), ("ﬂ", "ti")]
+
 _WORD = re.compile(r"[^\W_]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _MIXED = re.compile(r"[^\W\d_][0-9][^\W\d_]|[^\W\d_]{3}[0159]$|^[0159][^\W\d_]{3}")
@@ -71,12 +77,25 @@ def fuzzy_key(line: str) -> str:
     return text if len(text) >= 8 else ""
 
 
-def corrected(word: str, known: dict[str, int]) -> str | None:
+def confusion_key(word):
+    """A key of a word column that a word shares with all that it may be a misreading of."""
+    key = F.translate(word, *_SINGLE)
+    for a, b in _PLURAL:
+        key = F.replace(key, F.lit(a), F.lit(b))
+    return key
+
+
+def usable(word: str) -> bool:
+    """Whether a word can be a misreading."""
+    return len(word) >= 2 and not word.isdigit()
+
+
+def corrected(word: str, known: dict[str, int], rounds: int = 2) -> str | None:
     """The word that ``word`` is a misreading of, or None."""
     count = known.get(word, 0)
     best, least = None, max(count * RATIO, LEAST_COUNT - 1)
     pool = {word}
-    for _ in range(2):
+    for _ in range(rounds):
         fresh = set()
         for w in pool:
             for shape, letters in CONFUSIONS:
@@ -95,20 +114,64 @@ def corrected(word: str, known: dict[str, int]) -> str | None:
 
 
 class Reader:
-    """Finds the damage of records, with a table of word counts."""
+    """Finds the damage of records, with a table of word counts.
 
-    def __init__(self, known: dict[str, int]):
+    ``least`` is the count below which words are missing from the table, 0 if none is. Then ``answers``
+    must hold count and correction of the record's ``open_words`` that have any.
+    """
+
+    def __init__(self, known: dict[str, int], least: float = 0):
         self.known = known
-        self.memory: dict[str, str | None] = {}
+        self.least = least
+        self.memory: dict[str, str | None | bool] = {}
+        self.answers: dict[str, tuple[int, str | None]] = {}
 
-    def fix(self, word: str) -> str | None:
+    def decided(self, word: str) -> str | None | bool:
+        """The correction of a word, or False if words that the table lacks may change it."""
         if word not in self.memory:
             if len(self.memory) > 300_000:
                 self.memory.clear()
-            usable = len(word) >= 2 and not word.isdigit()
-            self.memory[word] = corrected(word, self.known) if usable else None
+            if not usable(word):
+                right = None
+            elif not self.least or word in self.known:
+                right = corrected(word, self.known)
+            else:
+                right = corrected(word, self.known, 1)
+                if right is None or self.known[right] < self.least * RATIO:
+                    right = False
+            self.memory[word] = right
         return self.memory[word]
 
+    def fix(self, word: str) -> str | None:
+        right = self.decided(word)
+        return self.answers.get(word, (0, None))[1] if right is False else right
+
+    def count(self, word: str) -> int:
+        return self.known.get(word) or self.answers.get(word, (0, None))[0]
+
+    def open_words(self, lines: list[str], found: dict[int, str]) -> set[str]:
+        """The words that the record asks for and the table cannot decide."""
+        if not self.least:
+            return set()
+        words: set[str] = set()
+        counted: set[str] = set()
+        body = [i for i, x in enumerate(lines) if i not in found and x.strip()]
+        begun: set[str] = set()
+        for at, i in enumerate(body):
+            line = lines[i]
+            words.update(_WORD.findall(line.lower()))
+            words.update(w.lower() for w in _WORD.findall(line))
+            parts = self.parts(line, lines[body[at + 1]]) if at + 1 < len(body) else None
+            if not parts:
+                begun = set()
+                continue
+            a, b, compound = parts
+            own = [w.lower() for w in _WORD.findall(line)]
+            begun = {a} | ({x + a for x in begun} if len(own) == 1 else set())  # a word broken more than once
+            words.update(x + b.lower() for x in begun)
+            counted.update((a + b.lower(), a, b.lower(), compound))
+        return {w for w in words if self.decided(w) is False} | {w for w in counted if w and w not in self.known}
+
     def structure(self, lines: list[str]) -> dict[int, str]:
         """Line numbers of headers and page numbers."""
         keys, numbers, pages = {}, {}, {}
@@ -146,8 +209,8 @@ class Reader:
                     found[j] = "header"
         return found
 
-    def broken(self, line: str, following: str | None) -> tuple[str, str] | None:
-        """(first part, rest) of a word that the line end broke."""
+    def parts(self, line: str, following: str | None) -> tuple[str, str, str] | None:
+        """First part, rest and hyphenated form of the word around a hyphen at the line's end; no form where the hyphen can only be a break."""
         m = _BREAK.search(line)
         if not m or following is None:
             return None
@@ -157,20 +220,30 @@ class Reader:
             return None
         a, b = first.group().lower(), rest.group(1)
         if m.group(1) in "­‐¬":
+            return a, b, ""
+        prefix = re.search(r"(?:[^\W\d_]+-)*[^\W\d_]+$", line[: m.start(1)])
+        compound = "-" + (prefix.group().lower() if prefix else a) + "-" + b.lower()
+        return a, b, compound
+
+    def broken(self, line: str, following: str | None) -> tuple[str, str] | None:
+        """(first part, rest) of a word that the line end broke."""
+        parts = self.parts(line, following)
+        if not parts:
+            return None
+        a, b, compound = parts
+        if not compound:
             return a, b.lower()
         if not b[0].islower():
             return None
-        prefix = re.search(r"(?:[^\W\d_]+-)*[^\W\d_]+$", line[: m.start(1)])
-        compound = "-" + (prefix.group().lower() if prefix else a) + "-" + b.lower()
-        joined = self.known.get(a + b.lower(), 0)
-        own = self.known.get(compound, 0)
-        if own > joined or (not joined and not own and self.known.get(a, 0) and self.known.get(b.lower(), 0) and len(a) > 2 and len(b) > 2):
+        joined = self.count(a + b.lower())
+        own = self.count(compound)
+        if own > joined or (not joined and not own and self.count(a) and self.count(b.lower()) and len(a) > 2 and len(b) > 2):
             return None
         return a, b.lower()
 
-    def damage(self, lines: list[str]) -> list[tuple[int, str]]:
+    def damage(self, lines: list[str], found: dict[int, str] | None = None) -> list[tuple[int, str]]:
         """(line number, kind) of every damaged line."""
-        found = self.structure(lines)
+        found = self.structure(lines) if found is None else found
         out = [(i, kind) for i, kind in found.items()]
         body = [i for i, x in enumerate(lines) if i not in found and x.strip()]
         carried: str | None = None
@@ -201,9 +274,9 @@ class Reader:
                 out.append((i, "ocr"))
         return out
 
-    def repair(self, lines: list[str]) -> str:
+    def repair(self, lines: list[str], found: dict[int, str] | None = None) -> str:
         """The text in paragraphs: without headers and page numbers, words joined and read right."""
-        found = self.structure(lines)
+        found = self.structure(lines) if found is None else found
         parts: list[str] = []
         glue = ""
         body = [i for i in range(len(lines)) if i not in found]
@@ -246,51 +319,107 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
 
-def known_words(texts: DataFrame) -> dict[str, int]:
-    """Counts, over all texts, of the words that are not rare; at most 1 / RARE entries."""
-    counts = cut(spread(texts).mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    table = counts.where(F.col("n") >= total * RARE).toArrow().to_pydict()
-    return dict(zip(table["word"], table["n"], strict=True))
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word and n, over all texts, of every word that is not below the least count."""
+    return cut(spread(texts).mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT))
 
 
-def _readers(df: DataFrame):
-    spark = df.sparkSession
-    ship(spark)
-    return spark.sparkContext.broadcast(known_words(df.select("raw_content").where(F.col("raw_content").isNotNull())))
+def frequent(counts: DataFrame, rare: float = RARE) -> tuple[dict[str, int], float]:
+    """The words of a relative frequency of at least ``rare``, and the count that this is; 0 if the counts hold no other word."""
+    total, n = counts.agg(F.sum("n"), F.count("*")).first()
+    least = (total or 0) * rare
+    table = counts.where(F.col("n") >= least).toArrow().to_pydict()
+    return dict(zip(table["word"], table["n"], strict=True)), least if len(table["word"]) < n else 0
 
 
-def damaged_lines(df: DataFrame) -> DataFrame:
-    """item_id, line_no and kind of every damaged line of the scanned rows."""
-    shared = _readers(df)
+def answered(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """word, n and right of the distinct ``words`` that have a count or a correction, from all counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
         for batch in batches:
-            ids, numbers, kinds = [], [], []
+            rows = []
+            for words_, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = dict(known)
+                for w in words_:
+                    right = corrected(w, known) if usable(w) else None
+                    if right is not None or w in known:
+                        rows.append((w, known.get(w, 0), right))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["word", "n", "right"])
+
+    asked = words.distinct().groupBy(confusion_key(F.col("word")).alias("key")).agg(F.collect_list("word").alias("words"))
+    own = counts.groupBy(confusion_key(F.col("word")).alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
+    return asked.join(own, "key").select("words", "known").mapInArrow(run, "word string, n bigint, right string")
+
+
+def _read(df: DataFrame, rare: float):
+    """Rows of item_id, raw_content, found (line to kind) and answers, and the broadcast table."""
+    spark = df.sparkSession
+    ship(spark)
+    counts = word_counts(df.select("raw_content").where(F.col("raw_content").isNotNull()))
+    shared = spark.sparkContext.broadcast(frequent(counts, rare))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*shared.value)
+        for batch in batches:
+            ids, texts, founds, asked = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = lines_of(text or "")
                 if wrapped(lines):
-                    for i, kind in reader.damage(lines):
-                        ids.append(key)
-                        numbers.append(i)
-                        kinds.append(kind)
+                    found = reader.structure(lines)
+                    ids.append(key)
+                    texts.append(text)
+                    founds.append(list(found.items()))
+                    asked.append(sorted(reader.open_words(lines, found)))
+            columns = [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(founds, pa.map_(pa.int32(), pa.string())), pa.array(asked, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "raw_content", "found", "asked"])
+
+    rows = spread(df.select("item_id", "raw_content")).mapInArrow(run, "item_id bigint, raw_content string, found map<int,string>, asked array<string>")
+    if not shared.value[1]:
+        return rows.select("item_id", "raw_content", "found", F.expr("cast(null as array<struct<word:string,n:bigint,right:string>>)").alias("answers")), shared
+    rows = cut(rows)
+    asked = rows.select("item_id", F.explode("asked").alias("word"))
+    answers = cut(answered(asked.select("word"), counts))
+    own = asked.join(answers, "word").groupBy("item_id").agg(F.collect_list(F.struct("word", "n", "right")).alias("answers"))
+    return rows.select("item_id", "raw_content", "found").join(own, "item_id", "left").select("item_id", "raw_content", "found", "answers"), shared
+
+
+def _records(batch: pa.RecordBatch, reader: Reader) -> Iterator[tuple[int, list[str], dict[int, str]]]:
+    """item_id, lines and found of a batch's rows, with their answers set in the reader."""
+    for key, text, found, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        reader.answers = {x["word"]: (x["n"], x["right"]) for x in answers or ()}
+        yield key, lines_of(text), dict(found)
+
+
+def damaged_lines(df: DataFrame, rare: float = RARE) -> DataFrame:
+    """item_id, line_no and kind of every damaged line of the scanned rows."""
+    rows, shared = _read(df, rare)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*shared.value)
+        for batch in batches:
+            ids, numbers, kinds = [], [], []
+            for key, lines, found in _records(batch, reader):
+                for i, kind in reader.damage(lines, found):
+                    ids.append(key)
+                    numbers.append(i)
+                    kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string())], names=["item_id", "line_no", "kind"])
 
-    return spread(df.select("item_id", "raw_content")).mapInArrow(run, "item_id bigint, line_no int, kind string")
+    return rows.mapInArrow(run, "item_id bigint, line_no int, kind string")
 
 
-def repaired(df: DataFrame) -> DataFrame:
+def repaired(df: DataFrame, rare: float = RARE) -> DataFrame:
     """item_id and the readable text of the scanned rows."""
-    shared = _readers(df)
+    rows, shared = _read(df, rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = Reader(*shared.value)
         for batch in batches:
-            rows = [(k, reader.repair(x)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if wrapped(x := lines_of(t or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["item_id", "text"])
+            out = [(key, reader.repair(lines, found)) for key, lines, found in _records(batch, reader)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string())], names=["item_id", "text"])
 
-    return spread(df.select("item_id", "raw_content")).mapInArrow(run, "item_id bigint, text string")
+    return rows.mapInArrow(run, "item_id bigint, text string")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
