@@ -141,6 +141,16 @@ def test_names():
     assert all(len({"k1", "k2"} & {("k1", "k2", "k3")[i] for i in c}) < 2 for c in made)
 
 
+def test_names_in_lower_case(spark):
+    cache = spark.createDataFrame(
+        [("k1", "Gheorghe Kamandilquez", "Q1"), ("k2", "Lake Mordrinova", "Q2")], "cache_key string, entity_text string, qid string"
+    ).selectExpr("*", "entity_text as label", "cast(null as string) as aliases", "cast(null as string) as description")
+    texts = ["gigi kamandilquez fue nombrado contable de la empresa", "they went to lake mordrinova in may", "it was kamandilquez, vasile's friend", "signed by kamandilqez, gigi", "the lake was cold"]
+    evidence = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("concat('p', id) as prov_id", "text")
+    keys, named = names.linked(cache, evidence)
+    assert {(r.cache_key, r.prov_id) for r in keys.join(named, "cluster").collect()} == {("k1", "p0"), ("k1", "p3"), ("k2", "p1")}
+
+
 def test_mixture(spark):
     rows = [(i, "alpha", "word " * (5 + i % 7)) for i in range(200)] + [(1000 + i, "beta", "one two " * 6) for i in range(10)] + [(2000, "gamma", None), (2001, "delta", "not listed")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
