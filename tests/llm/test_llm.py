@@ -151,6 +151,18 @@ def test_names_in_lower_case(spark):
     assert {(r.cache_key, r.prov_id) for r in keys.join(named, "cluster").collect()} == {("k1", "p0"), ("k1", "p3"), ("k2", "p1")}
 
 
+def test_cores_follow_to_the_end(spark):
+    chain = ["kamandilquezbrontiv", "kamandilquezbrontix", "kamandilquetbrontix", "kamandilruetbrontix", "kamasdilruetbrontix"]  # each one slip from the next
+    others = [a + b + c + a for a in ("gof", "lyp", "wuh") for b in "aeiouy" for c in ("jeg", "pow", "cyf", "hul", "xug", "fod")]
+    counts = spark.createDataFrame([*((c, 10 * k + 1) for k, c in enumerate(chain)), *((x, 1) for x in others)], "core string, n long")
+    assert {r.canon for r in names.canonical_cores(counts).where("core like 'kama%'").collect()} == {chain[-1]}
+
+
+def test_given_names_of_all_names(spark):
+    rare = [(f"Oldrich Ka{a}{b}mandil",) for a in "abcd" for b in "efgh"] + [(f"Za{a}{b}{c}rin Qua{c}{b}{a}lin",) for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmnprstvz"]
+    assert "oldrich" in names.frequent_names(spark.createDataFrame(rare, "name string")) and "quabablin" not in names.frequent_names(spark.createDataFrame(rare, "name string"))
+
+
 def test_mixture(spark):
     rows = [(i, "alpha", "word " * (5 + i % 7)) for i in range(200)] + [(1000 + i, "beta", "one two " * 6) for i in range(10)] + [(2000, "gamma", None), (2001, "delta", "not listed")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
