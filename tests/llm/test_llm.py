@@ -131,6 +131,15 @@ def test_pii():
     assert "a.b@x" not in pii.redact(sentence, found[0])
 
 
+def test_pii_title_or_initial():
+    spans = lambda t: {t[a:b] for k, a, b, _ in pii.candidates(t, {"maria"}) if k == pii.NAME}
+    assert spans("M. Mibrenciletti can be reached") == {"M. Mibrenciletti", "Mibrenciletti"}
+    assert spans("Dr. M. Macuhamovan moved") == {"M. Macuhamovan", "Macuhamovan"}
+    assert spans("Frau Macuhamovan moved") == {"Macuhamovan"}
+    assert pii.initial_m("M. Mibrenciletti signed", 0, 16, set()) == 2 and pii.initial_m("M. Mibrenciletti est joignable", 3, 16, set()) == 3
+    assert pii.initial_m("M. Maria Stanescu signed", 0, 17, {"maria"}) == 1
+
+
 def test_names():
     given = {"richard", "ursula", "francisco"}
     a, b = names.spelling("Prof. Richard Megolanquez", given)[0], names.spelling("Megolanquez, R.", given)[0]

@@ -69,6 +69,8 @@ TITLES = {k for k, v in _CONTEXT.items() if v == 5} | {"professor", "sir", "lady
 ORG = set(
     "foundation institute national agency group grp holdings sons media mining timber textiles energy airways pharma foods capital cement software logistics consulting research shipping international intl nat'l ag gmbh oy spa ltd llc inc b.v. s.a. s.r.l. corp company bank university ministry council".split()
 )
+#: Words of French alone, in which M. is a title.
+_FRENCH = set("et est à avec pour selon dans une du qui été par aux chez joindre auprès".split())
 _UNITS = {"t", "km", "m²", "m", "kg", "%", "eur", "usd", "ron", "€", "$", "tonnes", "pages"}
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[&$€£@%]")
 _INSIDE = re.compile(r"\b(?:Foundation|Institute|Agency|Ministry|University|Bank)\b[\w\s]*\b(?:for|of)\s*$")
@@ -134,11 +136,13 @@ def candidates(text: str, given: set[str]) -> list[Candidate]:
                     toks = toks[:k]
                     break
             while toks and toks[0][1].lower().rstrip(".") in TITLES:
+                if toks[0][1] == "M." and len(toks) > 1:  # a title, or the initial of a name
+                    out.append((NAME, a + toks[0][0], a + toks[-1][0] + len(toks[-1][1]), 0))
                 toks = toks[1:]
             if not toks:
                 continue
             if len(toks) == 1:
-                if a > 0 and toks[0][0] > 0:
+                if toks[0][0] > 0:
                     out.append((NAME, a + toks[0][0], a + toks[0][0] + len(toks[0][1]), 2))
                 continue
             whole = (a + toks[0][0], a + toks[-1][0] + len(toks[-1][1]))
@@ -171,6 +175,17 @@ class Lexicon:
         self.given = {k for k, v in wide.items() if sum(x[-3:] in self.endings for x in v) >= 0.7 * len(v)}
 
 
+def initial_m(text: str, a: int, b: int, given: set[str]) -> int:
+    """For a name with M. as its first token (1, 2) or before it (3, 4): odd where M. is a title, even where it is an initial; else 0."""
+    inside = text[a : a + 3] == "M. "
+    if not inside and (text[max(0, a - 3) : a] != "M. " or text[max(0, a - 4) : a - 3].isalnum()):
+        return 0
+    following = _NAMES.search(text, a + 3 if inside else a)
+    title = following is not None and following.group().lower().split("-")[0] in given and following.end() < b
+    title = title or not _FRENCH.isdisjoint(w.lower() for w in _WORDS.findall(text[max(0, a - 60) : b + 60]))
+    return (1 if title else 2) + 2 * (not inside)
+
+
 def features(text: str, c: Candidate, lex: Lexicon) -> list[int]:
     kind, a, b, form = c
     s = text[a:b]
@@ -198,6 +213,7 @@ def features(text: str, c: Candidate, lex: Lexicon) -> list[int]:
         toks = _NAMES.findall(s)
         low = [t.lower() for t in toks]
         parts = [p for t in low for p in t.split("-")]
+        row[2] = initial_m(text, a, b, lex.given)
         row[3] = len(toks)
         row[4] = int(low[0] in lex.given or low[0].split("-")[0] in lex.given)
         row[5] = int(any(p in lex.given for p in parts))
@@ -240,6 +256,8 @@ def weak_label(text: str, c: Candidate, f: list[int]) -> int | None:
         return 0
     if f[13] or f[17] or f[18] or f[8] in (2, 3):
         return 0
+    if f[2] in (1, 4):  # the other reading of M. is the name
+        return 0
     if form == 2:
         return 1 if f[10] else None
     first_initial = f[15] % 2 == 1
