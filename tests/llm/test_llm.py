@@ -109,12 +109,21 @@ def test_scans():
     assert reader.damage([""]) == []
 
 
+def test_scans_told_by_marks():
+    page = ["the council met in the town hall again and the budget was app-", "roved there by a narrow majority of the second council in May"]
+    assert scans.scanned([*page, "12"], "application/PDF") and not scans.scanned([*page[1:], "A short line."], "pdf")
+    assert scans.scanned([*page, "\x0cTitle", "On.", "To.", "By.", "Of.", "In."], None)
+    assert scans.scanned([page[1]] * 19 + ["x" * 140], "webpage")
+    assert not scans.scanned(["a web page line that is very much longer than one hundred characters, as its paragraph is not wrapped at all-", "so"] * 5, "pdf")
+    assert not scans.scanned([], "pdf") and not scans.scanned(["", " "], None)
+
+
 def test_scans_rare_words(spark):
     page = ["the council met with mibrencilctti in the town hall again", "and the budget was approved there by oldrich kamandil-", "quez before the loan of the second council was rejected", "after which the council of the town went home at once."]
     long = "the " * 1_000_000  # so that words seen four times are below the table's frequency
     rows = [(1, "\n".join(page)), *((k, long) for k in (2, 3, 4)), *((k, "mibrenciletti kamandilquez kamandil quez " + "x" * 90) for k in (5, 6, 7, 8))]
-    df = spark.createDataFrame(rows, "item_id long, raw_content string")
-    table, least = scans.frequent(scans.word_counts(df.select("raw_content")))
+    df = spark.createDataFrame(rows, "item_id long, raw_content string").withColumn("content_type", F.lit(None).cast("string"))
+    table, least = scans.frequent(scans.word_counts(df.select("raw_content", "content_type")))
     assert least > 4 and "mibrenciletti" not in table
     assert {tuple(r) for r in scans.damaged_lines(df).collect()} == {(1, 0, "ocr"), (1, 1, "hyphen")}
     assert "met with mibrenciletti in the town hall again and the budget was approved there by oldrich kamandilquez before" in scans.repaired(df).first().text

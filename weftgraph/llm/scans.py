@@ -1,6 +1,8 @@
 """Repair of text extracted from scanned pages.
 
-A row is scanned text if its lines are wrapped at a width, whatever its content type says. Running
+A row is scanned text if its lines are wrapped at a width, whatever its content type says, or if they
+show a scan's marks: form feeds or line ends that break words, and for a row that is labelled as pdf or
+image one such mark or page number. Few lines that are longer do not count. Running
 headers and footers are short lines whose fuzzy key repeats within the record or that carry a page
 number at their edge; page-number lines are those of a rising sequence or of a page-number form.
 A line end broke a word if the corpus knows the joined word, or knows neither it nor the hyphenated
@@ -64,10 +66,30 @@ def wrapped(lines: list[str]) -> bool:
     sizes = [len(x.rstrip()) for x in lines if x.strip()]
     if len(sizes) < LEAST_LINES:
         return False
-    widest = max(sizes)
+    widest = width(sizes, 20)
     return widest <= WIDTH and sum(n >= 0.6 * widest for n in sizes) >= FILLED * len(sizes)
 
 
+def width(sizes: list[int], of: int) -> int:
+    """The length that all but one of so many lines do not exceed."""
+    return sorted(sizes)[((of - 1) * len(sizes) - 1) // of]
+
+
+def scanned(lines: list[str], label: str | None) -> bool:
+    """Whether the lines of a row with this content type are scanned text."""
+    if wrapped(lines):
+        return True
+    full = [x for x in lines if x.strip()]
+    if len(full) < 2 or width([len(x.rstrip()) for x in full], 10) > WIDTH:
+        return False
+    breaks = sum(_BREAK.search(a) is not None and b.lstrip()[0].islower() for a, b in zip(full, full[1:]))
+    feeds = sum("\x0c" in x for x in lines)
+    if feeds or breaks > 1:
+        return True
+    kind = (label or "").lower()
+    return ("pdf" in kind or "image" in kind) and (breaks > 0 or any(_PAGE.match(x.strip()) for x in full))
+
+
 def fuzzy_key(line: str) -> str:
     """A key that a line and its misread copies share; empty for lines without enough letters."""
     text = _NUMBER.sub("", line.strip("\x0c \t")).lower()
@@ -308,11 +330,11 @@ class Reader:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: Counter = Counter()
-        for text in batch.column(0).to_pylist():
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text:
                 continue
             lines = lines_of(text)
-            if not wrapped(lines):
+            if not scanned(lines, label):
                 words.update(_WORD.findall(text.lower()))
             if "-" in text:
                 words.update("-" + w for w in _COMPOUND.findall(text.lower()))
@@ -320,7 +342,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word and n, over all texts, of every word that is not below the least count."""
+    """word and n, over all texts (raw_content, content_type), of every word that is not below the least count."""
     return cut(spread(texts).mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT))
 
 
@@ -356,16 +378,16 @@ def _read(df: DataFrame, rare: float):
     """Rows of item_id, raw_content, found (line to kind) and answers, and the broadcast table."""
     spark = df.sparkSession
     ship(spark)
-    counts = word_counts(df.select("raw_content").where(F.col("raw_content").isNotNull()))
+    counts = word_counts(df.select("raw_content", "content_type").where(F.col("raw_content").isNotNull()))
     shared = spark.sparkContext.broadcast(frequent(counts, rare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
         for batch in batches:
             ids, texts, founds, asked = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text, label in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 lines = lines_of(text or "")
-                if wrapped(lines):
+                if scanned(lines, label):
                     found = reader.structure(lines)
                     ids.append(key)
                     texts.append(text)
@@ -374,7 +396,7 @@ def _read(df: DataFrame, rare: float):
             columns = [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(founds, pa.map_(pa.int32(), pa.string())), pa.array(asked, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=["item_id", "raw_content", "found", "asked"])
 
-    rows = spread(df.select("item_id", "raw_content")).mapInArrow(run, "item_id bigint, raw_content string, found map<int,string>, asked array<string>")
+    rows = spread(df.select("item_id", "raw_content", "content_type")).mapInArrow(run, "item_id bigint, raw_content string, found map<int,string>, asked array<string>")
     if not shared.value[1]:
         return rows.select("item_id", "raw_content", "found", F.expr("cast(null as array<struct<word:string,n:bigint,right:string>>)").alias("answers")), shared
     rows = cut(rows)
@@ -424,9 +446,9 @@ def repaired(df: DataFrame, rare: float = RARE) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged lines of scanned text in content_item."""
-    return damaged_lines(load(spark, sf_dir, "content_item", "item_id", "raw_content"))
+    return damaged_lines(load(spark, sf_dir, "content_item", "item_id", "raw_content", "content_type"))
 
 
 def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable texts of the scanned rows of content_item."""
-    return repaired(load(spark, sf_dir, "content_item", "item_id", "raw_content"))
+    return repaired(load(spark, sf_dir, "content_item", "item_id", "raw_content", "content_type"))
