@@ -6,7 +6,7 @@ composed functions are formed side by side, chained, and replayed with known sta
 regular expression runs. The slices between boundaries feed a cache of merged pairs.
 
 Null and empty texts give the empty list. Special-token strings inside a text are ordinary text.
-Offsets (in code points) of every slice are kept, so ids decode back to the exact text.
+Slices are cut without loss, so ids decode back to the exact text; their offsets are not returned.
 """
 
 from __future__ import annotations
