@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": residue.p1_found,
         "p1_kept": residue.p1_kept,
+        "p1_fit": residue.p1_fit,
         "p2_found": langid.p2_found,
         "p2_segments": langid.p2_segments,
         "p3_found": sitelines.p3_found,
