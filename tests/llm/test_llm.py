@@ -118,7 +118,8 @@ def test_residue_decided_by_the_classifier():
     assert (hit & bad).sum() >= 0.95 * bad.sum() and (hit & bad).sum() >= 0.95 * hit.sum() and report["recall"] >= 0.9
     # an unlabelled notice is found by what it shares with labelled ones
     w, scale, least, _ = residue.train([r[:3] for r in rows[:600]], hidden=re.compile("too many requests"))
-    assert residue.probabilities(["Too many requests\nRequest id 12345"], ["https://new.example/p/1"], w, scale, linear.Hasher())[0] >= least
+    alike = residue.probabilities(["Too many requests\nRequest id 12345"], ["https://new.example/p/1"], w, scale, linear.Hasher())[0]
+    assert alike > 3 * residue.probabilities([r[0] for r in rows[605::10]], [None] * 30, w, scale, linear.Hasher()).max()
 
 
 def test_residue_edges(spark):

@@ -124,7 +124,7 @@ def body_tokens(text: str, url: str | None) -> list[str]:
     title = next((x for x in text.split("\n") if x.strip()), "").lower().split()
     path = re.sub(r"^\w+://[^/]*", "", url or "").lower()
     size = f"length={2 * len(tokens).bit_length() + (len(tokens) * 3 >> len(tokens).bit_length() + 1 & 1)}"
-    return [*tokens, size, size + "!", *(f"title:{w}" for w in title), *(f"path:{w}" for w in re.split(r"[/?=&.]+", path)[1:3] if not any(c.isdigit() for c in w))]
+    return ["body:", *tokens, size, size + "!", *(f"title:{w}" for w in title), *(f"path:{w}" for w in re.split(r"[/?=&.]+", path)[1:3] if not any(c.isdigit() for c in w))]
 
 
 def instances(text: str, url: str | None) -> list[tuple[str, list[str], str]]:
@@ -193,12 +193,14 @@ def train(rows: list[tuple[str, str | None, str | None]], hidden: re.Pattern | N
             fold.append(hasher[f"host:{site}"] % 1000)
     seeds = [holder_tokens(f"{before} {form} {after}") for form in EXAMPLES for before, after in (("dear", ""), ("of the", "and"), ("by", ","), ("", ""))]
     seeds += [["address:", f"slot_{k}"] for k in _ADDRESS for _ in range(3)]
-    labels, place = np.array(y), np.array(fold)
+    plain = [["body:"]] * len(seeds)  # what a record without evidence is
+    labels, place = np.array(y), np.array(fold, np.int64)
     held = place < 1000 * HELD_OUT
     inside = np.flatnonzero(~held)
 
     def fit(which: np.ndarray) -> np.ndarray:
-        return linear.fit(*linear.ngrams([x[i] for i in which] + seeds, hasher), np.concatenate([labels[which], np.ones(len(seeds))]), l2=1e-5, rounds=ROUNDS)
+        both = np.concatenate([labels[which], np.ones(len(seeds)), np.zeros(len(plain))])
+        return linear.fit(*linear.ngrams([x[i] for i in which] + seeds + plain, hasher), both, l2=1e-5, rounds=ROUNDS)
 
     doubtful = np.zeros(len(x), bool)
     for k in range(FOLDS):
