@@ -28,6 +28,8 @@ from weftgraph.runtime import host, load, ship, spread
 SAMPLE_ROWS, SHORT = 8000, 800
 #: Share of hosts held out, host folds of the label cleaning, and the probability at which an unlabelled instance leaves the fit.
 HELD_OUT, FOLDS, DOUBTFUL = 0.25, 2, 0.3
+#: Labelled instances without which labels are not cleaned.
+LEAST_LABELS = 20
 
 #: Forms of placeholders of common template languages, by name.
 FORMS = {
@@ -203,7 +205,7 @@ def train(rows: list[tuple[str, str | None, str | None]], hidden: re.Pattern | N
         return linear.fit(*linear.ngrams([x[i] for i in which] + seeds + plain, hasher), both, l2=1e-5, rounds=ROUNDS)
 
     doubtful = np.zeros(len(x), bool)
-    for k in range(FOLDS):
+    for k in range(FOLDS if labels[inside].sum() >= LEAST_LABELS else 0):
         apart = inside[place[inside] % FOLDS == k]
         p = _score([x[i] for i in apart], hasher, fit(inside[place[inside] % FOLDS != k]))
         doubtful[apart[(labels[apart] == 0) & (p >= DOUBTFUL)]] = True
