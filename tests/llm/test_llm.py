@@ -224,7 +224,26 @@ def test_given_names_of_all_names(spark):
 def test_mixture(spark):
     rows = [(i, "alpha", "word " * (5 + i % 7)) for i in range(200)] + [(1000 + i, "beta", "one two " * 6) for i in range(10)] + [(2000, "gamma", None), (2001, "delta", "not listed")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    taken = mixture.mixture(df, {"alpha": (1.0, 1), "beta": (1.0, 4), "gamma": (1.0, 2), "none": (1.0, 1)}).collect()
+    got, report = mixture.mixture(df, {"alpha": (1.0, 1), "beta": (1.0, 4), "gamma": (1.0, 2), "none": (1.0, 1)})
+    taken = got.collect()
     total = {s: sum(r.copies * r.n_tokens for r in taken if r.source == s) for s in ("alpha", "beta")}
     assert abs(total["alpha"] / sum(total.values()) - 0.5) < 0.02 and max(r.copies for r in taken if r.source == "beta") <= 4
-    assert mixture.mixture(df, {}).count() == 0
+    assert mixture.mixture(df, {})[0].count() == 0 and mixture.mixture(df.limit(0), {"alpha": (1.0, 1)})[0].count() == 0
+
+
+def test_mixture_dual_binds(spark):
+    rng = random.Random(8)
+    rows = [(i, "short", "a " * rng.randrange(3, 30)) for i in range(400)] + [(1000 + i, "long", "b " * rng.randrange(20, 200)) for i in range(300)] + [(2000 + i, "few", "c " * 40) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got, report = mixture.mixture(df, {"short": (2.0, 2), "long": (2.0, 1), "few": (1.0, 3)})
+    solved = report["sources"]
+    assert report["newton_steps"] > 3 and report["gap"] <= 1e-6 and solved["short"].b > 0.1 and solved["long"].b < -0.1
+    taken = got.collect()
+    size = {s: sum(r.copies * r.n_tokens for r in taken if r.source == s) for s in solved}
+    reached = {s: v / sum(size.values()) for s, v in size.items()}
+    assert abs(reached["short"] - 0.4) < 0.01 and abs(reached["long"] - 0.4) < 0.01 and abs(reached["few"] - 0.2) < 0.01
+    for s, cap in (("short", 2), ("long", 1), ("few", 3)):
+        assert max(r.copies for r in taken if r.source == s) <= cap
+    # the mean lengths taken are nearer to one another than those of the sources are
+    mean = {s: size[s] / sum(r.copies for r in taken if r.source == s) for s in size}
+    assert abs(mean["long"] - mean["short"]) < 0.8 * abs(solved["long"].mean - solved["short"].mean)
