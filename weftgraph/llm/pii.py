@@ -2,10 +2,13 @@
 
 Generators with high recall propose spans, which may overlap, of e-mail addresses, phone numbers,
 identity numbers, street addresses and names. Boosted trees score every span by its format and its
-context; the trees are fitted on a bounded sample of rows, with labels by rules that may abstain,
-and on given names and surname endings that the same sample shows. Thresholds per kind are chosen
-on held-out rows of the sample. Of overlapping spans that pass, the one that starts first and is
-longest stays.
+context; the trees are fitted on a bounded sample of rows, and on given names, surname endings and
+lower-case words that the same sample shows. Labels come from one side only and the trees decide from
+the other: a number is labelled by the words before it, never by its format, and is fitted a second
+time with those words hidden; a name is labelled where a listed given name or a title makes it sure,
+and fitted a second time without the list. Where the rules abstain only the trees decide. Their
+scores are calibrated per kind on held-out rows, and the thresholds apply to calibrated
+probabilities. Of overlapping spans that pass, the one that starts first and is longest stays.
 
 Null and empty texts have no spans. Positions are code points from 0.
 """
@@ -52,6 +55,7 @@ _ADDRESS = re.compile(
     rf"|\b(?:(?:Am|An der|Auf dem|Im|In der|Zum|Zur|Unter den|Alte[rs]?|Neue[rs]?)\s(?:[{_UP}][\wß]+\s){{1,3}}|[{_UP}][\wß\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|markt|steig|chaussee)\s){_NUM}"
     rf"|\b(?:ул\.|улица|пр\.|проспект|пер\.|переулок|наб\.|набережная|пл\.|площадь|бул\.|бульвар|ш\.|шоссе)\s[^\d;]{{2,40}}?,?\s(?:д\.|дом)?\s?{_NUM}"
 )
+_UNIT = re.compile(r"(?:Flat|Unit|Apt\.?|Apartment|Suite|Room)\s\w{1,6},\s")
 _ADDRESS_HINT = re.compile(
     r"\b(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Court|Ct|Drive|Square|Sq|Way|Terrace|Close|Place|Row|Boulevard|Blvd|Crescent|Quay|Gardens|Hill|Flat|Unit|Apt|Apartment|Suite|rue|avenue|av|boulevard|bd|place|impasse|chemin|quai|allée|cours|square|passage|route"
     r"|[Ss]trada|[Ss]tr|Bd|[Bb]ulevardul|[Aa]leea|[Cc]alea|[Pp]iața|[Șș]os|[Șș]oseaua|[Ii]ntrarea|[Ss]plaiul|[Vv]ia|[Vv]iale|[Cc]orso|[Pp]iazza|[Pp]iazzale|[Vv]icolo|[Ll]argo|[Ll]ungomare|[Cc]alle|C/|[Aa]venida|[Aa]vda|[Pp]laza|[Pp]aseo|[Cc]amino|[Rr]onda|[Cc]tra|[Cc]arretera|[Tt]ravesía"
@@ -64,6 +68,8 @@ _CONTEXT = {
     "file": 3, "case": 3, "invoice": 3, "lot": 3, "dosarul": 3, "akte": 3, "dossier": 3, "expediente": 3, "fascicolo": 3, "дело": 3, "room": 3, "no": 3, "nr": 3, "ron": 4, "eur": 4, "usd": 4, "$": 4, "€": 4, "£": 4, "for": 8, "xr": 3, "gps": 3, "version": 3,
     "mr": 5, "mrs": 5, "ms": 5, "dr": 5, "herr": 5, "herrn": 5, "frau": 5, "doamna": 5, "domnul": 5, "dl": 5, "dna": 5, "m": 5, "mme": 5, "mlle": 5, "monsieur": 5, "madame": 5, "sr": 5, "sra": 5, "señor": 5, "señora": 5, "signor": 5, "signora": 5, "sig": 5, "г-н": 5, "г-жа": 5, "господин": 5, "госпожа": 5, "prof": 5,
     "of": 7, "&": 7,
+    "in": 6, "din": 6, "at": 6, "en": 6, "à": 6, "bei": 6, "near": 6, "nach": 6, "в": 6,
+    "lived": 9, "lives": 9, "moved": 9, "parcel": 9, "wohnt": 9, "wohnhaft": 9, "domicilio": 9, "domicilié": 9, "habite": 9, "demeurant": 9, "locuiește": 9, "domiciliat": 9, "residente": 9, "abita": 9, "vive": 9, "проживает": 9, "живёт": 9, "address": 9, "adresse": 9, "indirizzo": 9, "dirección": 9, "adresa": 9,
 }
 TITLES = {k for k, v in _CONTEXT.items() if v == 5} | {"professor", "sir", "lady", "don", "doña", "dott", "ing", "avv", "av", "me", "pr"}
 ORG = set(
@@ -74,11 +80,14 @@ _FRENCH = set("et est à avec pour selon dans une du qui été par aux chez join
 _UNITS = {"t", "km", "m²", "m", "kg", "%", "eur", "usd", "ron", "€", "$", "tonnes", "pages"}
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[&$€£@%]")
 _INSIDE = re.compile(r"\b(?:Foundation|Institute|Agency|Ministry|University|Bank)\b[\w\s]*\b(?:for|of)\s*$")
+_SPELLED = re.compile(r"\sdot\s|\(dot\)|\[dot\]")
 _DIGIT, _DIGITS, _GLUED = re.compile(r"\d"), re.compile(r"\d+"), re.compile(r"\d,\s$|[A-Z]\d*/?$")
 _DATE = re.compile(r"\d{1,2}\.\d{1,2}\.(?:19|20)\d\d|(?:19|20)\d\d-(?:(?:19|20)\d\d|\d\d-\d\d)|\d{1,3}(?: \d{3})+")
 _NAMES, _LOCAL = re.compile(r"[^\s,.]+"), re.compile(r"[.+\d_\-]")
 _SEPARATORS = re.compile(r"\D+")
-N_FEATURES = 19
+N_FEATURES = 22
+_OPENER = re.compile(rf"([{_UP}][\w’']+) ([{_UP}][\w’']+)")
+_ALPHA = re.compile(r"[^\W\d_]{2,}")
 
 _PART = re.compile(r"[^\s,]+")
 Candidate = tuple[int, int, int, int]  # kind, start, end, format
@@ -91,11 +100,12 @@ def _tokens(run: str) -> list[tuple[int, str]]:
 def candidates(text: str, given: set[str]) -> list[Candidate]:
     """Spans that may be personal information: (kind, start, end, format)."""
     out: list[Candidate] = []
-    addresses: list[tuple[int, int]] = []
     if _DIGIT.search(text) and _ADDRESS_HINT.search(text):
         for m in _ADDRESS.finditer(text):
             out.append((ADDRESS, m.start(), m.end(), 0))
-            addresses.append((m.start(), m.end()))
+            unit = _UNIT.match(m.group())
+            if unit:  # the unit may be no part of it
+                out.append((ADDRESS, m.start() + unit.end(), m.end(), 1))
     if "@" in text or "://" in text or " at " in text or "(at)" in text or "[at]" in text or "{at}" in text:
         rest = text
         for m in _EMAIL.finditer(text):
@@ -157,7 +167,7 @@ def candidates(text: str, given: set[str]) -> list[Candidate]:
 
 
 class Lexicon:
-    """Given names and surname endings that a sample shows."""
+    """Given names, surname endings and common lower-case words that a sample shows."""
 
     def __init__(self, texts: list[str]):
         followers: dict[str, set] = defaultdict(set)
@@ -173,6 +183,17 @@ class Lexicon:
         total = sum(endings.values()) or 1
         self.endings = {e for e, n in endings.items() if n >= max(4, 0.01 * total)}
         self.given = {k for k, v in wide.items() if sum(x[-3:] in self.endings for x in v) >= 0.7 * len(v)}
+        lower, upper = Counter(), Counter()
+        for t in texts:
+            for w in _ALPHA.findall(t):
+                (lower if w.islower() else upper)[w.lower()] += 1
+        self.plain = {w for w, n in lower.items() if n >= 3 and n > upper[w] and w not in self.given}
+        opened: dict[str, set] = defaultdict(set)  # words that sentences open with before a name
+        for t in texts:
+            m = _OPENER.match(t)
+            if m and m.group(2).lower() in self.given and m.group(1).lower() not in self.given:
+                opened[m.group(1).lower()].add(m.group(2).lower())
+        self.plain |= {w for w, v in opened.items() if len(v) >= 4}
 
 
 def initial_m(text: str, a: int, b: int, given: set[str]) -> int:
@@ -194,8 +215,8 @@ def features(text: str, c: Candidate, lex: Lexicon) -> list[int]:
     digits = len(_DIGIT.findall(s)) if kind in (PHONE, ID) else 0
     classes = [_CONTEXT.get(w, 0) for w in before]
     near = classes[-1] if classes else 0
-    wider = next((x for x in reversed(classes) if x in (1, 2, 3, 4)), 0)
-    row = [kind, form, digits, 0, 0, 0, near, wider, 0, min(31, b - a), 0, 0, 0, 0, 0, 0, 0, 0, 0]
+    wider = next((x for x in reversed(classes) if x in (1, 2, 3, 4, 9)), 0)
+    row = [kind, form, digits, 0, 0, 0, near, wider, 0, min(31, b - a), 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]
     nxt = after.group().lower() if after and text[b : b + 2].strip()[:1] not in (",", ".", ";", ":") else ""
     row[8] = 1 if nxt in _UNITS else 2 if nxt.strip(".") in ORG else 3 if nxt == "&" else 4 if text[b : b + 1] == "@" else 0
     if kind in (PHONE, ID):
@@ -227,71 +248,124 @@ def features(text: str, c: Candidate, lex: Lexicon) -> list[int]:
         row[17] = int(text[a - 2 : a] == "& " or (text[a - 4 : a].endswith(("for ", "of ")) and _INSIDE.search(text[max(0, a - 45) : a]) is not None))
         row[18] = int(text[b : b + 2] == " &" or text[b : b + 4] in (" of ", " for"))
         row[15] = 2 * row[15] + int(len(low[0]) == 1)
+        row[19] = int(low[0].strip(".") in lex.plain) + 2 * int(low[-1].strip(".") in lex.plain)
+        row[20] = int(any(t.strip(".") in lex.plain for t in low[1:-1]))
     elif kind == EMAIL:
         row[3] = s.count(".")
         row[10] = int(bool(_LOCAL.search(s.split("@")[0].split(" ")[0])))
         row[11] = int(" at " in s)
+        row[12] = int(_SPELLED.search(s) is not None)
+        row[13] = int(re.split(r"[@\s\[({]", s)[0].lower() in lex.plain)
+    elif kind == ADDRESS:
+        row[2] = len(_DIGIT.findall(s))
+        row[3] = s.count(" ")
+        row[4] = int(s[0].isdigit()) + 2 * int(s[-1].isdigit())
+        row[5] = int(_UNIT.match(s) is not None)
+        row[10] = int(_UNIT.search(text, max(0, a - 16), a) is not None)
+        row[11] = int(re.search(r"(?:18|19|20)\d\d$", s) is not None)
+        row[12] = int(text[b : b + 1] == ",")
     return row
 
 
 def weak_label(text: str, c: Candidate, f: list[int]) -> int | None:
-    """1, 0, or None where the rules abstain."""
+    """1, 0, or None where the rules abstain. Numbers and addresses are labelled by what stands around them only."""
     kind, a, b, form = c
-    s = text[a:b]
     if kind == EMAIL:
-        return 0 if f[11] and not f[10] else 1
+        if f[8] == 4:  # another address goes on behind it
+            return 0
+        return 1 if not f[11] or f[12] else 0 if f[13] else None
     if kind == ADDRESS:
-        return 1
+        return 0 if f[10] else 1 if f[7] == 9 else None
     if kind == PHONE:
-        if f[7] == 2 or f[15] or f[8] == 1 or f[14] or f[7] == 4:
-            return 0
-        if f[4] in (1, 2) or f[7] == 1:
-            return 1
-        if f[7] == 3:
+        if f[8] == 1 or f[14] or f[7] in (2, 3, 4):
             return 0
-        return 1 if re.match(r"0\d|\d{3}[.-]555|8 \(|555-", s) else 0 if f[2] > 12 else None
+        return 1 if f[7] == 1 else None
     if kind == ID:
-        if f[7] == 2 or (re.search(r"identi|pass|CNP|usweis|document|Номер", text[max(0, a - 60) : a]) and f[7] != 1):
-            return 0 if s[0] == "+" else 1
-        return 0
-    if f[13] or f[17] or f[18] or f[8] in (2, 3):
+        if f[7] in (1, 3, 4) or f[14] or f[8] == 1:
+            return 0
+        return 1 if f[7] == 2 or re.search(r"identi|pass|CNP|usweis|Номер", text[max(0, a - 60) : a]) else None
+    if f[13] or f[17] or f[18] or f[8] in (2, 3):  # an organisation
         return 0
     if f[2] in (1, 4):  # the other reading of M. is the name
         return 0
-    if form == 2:
-        return 1 if f[10] else None
-    first_initial = f[15] % 2 == 1
-    if f[4] and f[10] or first_initial and f[10] or f[11] and (f[5] or f[14]):
-        return 1
-    if f[5] or f[14] or not f[10]:
+    if f[6] == 6 and not f[5] and not f[10]:  # a place
         return 0
-    return None
+    if f[19] & 1 and form != 1:  # the sentence's first word
+        return 0
+    if f[6] == 5 and f[10]:  # a title stands before it
+        return 1
+    if form != 2 and (f[4] and f[10] or f[11] and f[5]):
+        return 1
+    return 0 if f[5] and not f[4] and not f[11] or f[14] and not f[10] and f[15] % 2 == 0 and not f[11] else None
+
+
+#: Features that show what stands around a number; one copy of each is fitted without them.
+_AROUND = [6, 7, 8, 14]
+#: Features of a name that come from the list of given names, and those that show no name at all.
+_LISTED, _SIGNS = [4, 5], [8, 13, 17, 18, 19]
+
+
+def calibration(p: np.ndarray, y: np.ndarray, prior: float = 2.0) -> tuple[float, float]:
+    """Slope and offset that calibrate log-odds: Newton steps on the log-likelihood with a prior at the identity."""
+    z = np.log(np.clip(p, 1e-6, 1 - 1e-6) / np.clip(1 - p, 1e-6, 1))
+    a, b = 1.0, 0.0
+    for _ in range(40):
+        q = trees.sigmoid(a * z + b)
+        h = np.maximum(q * (1 - q), 1e-9)
+        g = np.array([((q - y) * z).sum() + prior * (a - 1), (q - y).sum() + prior * b])
+        step = np.linalg.solve(np.array([[(h * z * z).sum() + prior, (h * z).sum()], [(h * z).sum(), h.sum() + prior]]), g)
+        step *= min(1.0, 1.0 / max(1e-12, abs(step).max()))
+        a, b = a - step[0], b - step[1]
+        if abs(step).max() < 1e-7:
+            break
+    return float(a), float(b)
+
+
+def scores(model: dict, x: np.ndarray) -> np.ndarray:
+    """Calibrated probabilities."""
+    p = trees.predict(model["trees"], x)
+    z = np.log(np.clip(p, 1e-6, 1 - 1e-6) / np.clip(1 - p, 1e-6, 1))
+    a, b = model["calibration"][x[:, 0]].T
+    return trees.sigmoid(a * z + b)
 
 
 def train(texts: list[str]) -> dict:
-    """Trees, thresholds and lexicon from a sample of texts."""
+    """Trees, calibration, thresholds, lexicon and report from a sample of texts."""
     lex = Lexicon(texts)
-    x, y, held = [], [], []
+    x, y, held, silent = [], [], [], 0
     for n, t in enumerate(texts):
         for c in candidates(t, lex.given):
             f = features(t, c, lex)
             label = weak_label(t, c, f)
-            if label is not None:
-                x.append(f)
-                y.append(label)
-                held.append(n % 100 < 100 * HELD_OUT)
-    xs, ys, hs = np.array(x, np.int64).reshape(-1, N_FEATURES), np.array(y), np.array(held, bool)
-    model = trees.fit(xs[~hs], ys[~hs]) if len(xs) else trees.fit(xs, ys)
-    p = trees.predict(model, xs[hs]) if len(xs) else np.zeros(0)
-    thresholds = np.full(len(KINDS), 0.5)
+            if label is None:
+                silent += 1
+                continue
+            x.append(f)
+            y.append(label)
+            held.append(n % 100 < 100 * HELD_OUT)
+    xs, ys, hs = np.array(x, np.int64).reshape(-1, N_FEATURES), np.array(y, np.int64), np.array(held, bool)
+    blind = xs.copy()
+    blind[:, _AROUND] = 0
+    again = ~hs & np.isin(xs[:, 0], (PHONE, ID))
+    # names whose given name no list holds: what still shows is the ending, the shape and the words around
+    unlisted = xs.copy()
+    unlisted[:, _LISTED] = 0
+    shown = ~hs & (xs[:, 0] == NAME) & ((ys == 1) | (xs[:, _SIGNS] > 0).any(axis=1))
+    model = {"trees": trees.fit(np.concatenate([xs[~hs], blind[again], unlisted[shown]]), np.concatenate([ys[~hs], ys[again], ys[shown]])), "lexicon": lex}
+    model["calibration"], model["thresholds"] = np.tile([1.0, 0.0], (len(KINDS), 1)), np.full(len(KINDS), 0.5)
+    p = trees.predict(model["trees"], xs[hs]) if hs.any() else np.zeros(0)
+    report = {"spans": len(xs) + silent, "labelled": len(xs), "silent": silent, "kinds": {}}
     for k in range(len(KINDS)):
-        own = xs[hs][:, 0] == k if len(xs) else np.zeros(0, bool)
+        own = xs[hs][:, 0] == k
         if own.sum() >= 50 and 0 < ys[hs][own].mean() < 1:
+            model["calibration"][k] = calibration(p[own], ys[hs][own])
+            q, t = scores(model, xs[hs][own]), ys[hs][own]
             grid = np.linspace(0.2, 0.8, 13)
-            score = [2 * (ys[hs][own] & (p[own] >= g)).sum() / max(1, ys[hs][own].sum() + (p[own] >= g).sum()) for g in grid]
-            top = np.flatnonzero(np.array(score) >= max(score) - 1e-12)
-            thresholds[k] = grid[top[len(top) // 2]]
-    return {"trees": model, "thresholds": thresholds, "lexicon": lex}
+            quality = [2 * (t * (q >= g)).sum() / max(1, t.sum() + (q >= g).sum()) for g in grid]
+            model["thresholds"][k] = float(np.median(grid[np.array(quality) >= max(quality) - 1e-12]))
+            report["kinds"][KINDS[k]] = (int(own.sum()), float(max(quality)))
+    model["report"] = report
+    return model
 
 
 def find(texts: list[str | None], model: dict) -> list[list[tuple[int, int, int]]]:
@@ -309,7 +383,7 @@ def find(texts: list[str | None], model: dict) -> list[list[tuple[int, int, int]
     if not spans:
         return out
     x = np.array(rows, np.int64)
-    p = trees.predict(model["trees"], x)
+    p = scores(model, x)
     keep = np.flatnonzero(p >= model["thresholds"][x[:, 0]])
     by: dict[int, list] = defaultdict(list)
     for i in keep.tolist():
@@ -392,3 +466,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables' texts with typed placeholders."""
     return redacted(_rows(spark, sf_dir))
+
+
+def p7_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees' report: spans of the sample, those that the rules label and those that only the trees decide, and held-out F1 per kind."""
+    report = _model(_rows(spark, sf_dir))["report"]
+    rows = [(k, report["spans"], report["labelled"], report["silent"], *report["kinds"].get(k, (0, None))) for k in KINDS]
+    return spark.createDataFrame(rows, "kind string, n_spans int, n_labelled int, n_silent int, n_held_out int, held_out_f1 double")

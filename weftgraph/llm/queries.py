@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_repaired": scans.p6_repaired,
         "p7_found": pii.p7_found,
         "p7_redacted": pii.p7_redacted,
+        "p7_fit": pii.p7_fit,
         "p8_ids": tokens.p8_ids,
         "p9_mixture": mixture.p9_mixture,
         "p9_shares": mixture.p9_shares,
