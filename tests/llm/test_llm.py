@@ -138,6 +138,19 @@ def test_languages():
     assert [langid.code_of(x) for x in ("RO", "de_AT", "eng", "French", "hu", "und", "", None)] == ["ro", "de", "en", "fr", "other", None, None, None]
 
 
+def test_shortlist_changes_nothing():
+    texts = [("Le conseil a vendu la maison et le jardin pour une somme inconnue.", "fr"), ("The council sold the house and the garden for an unknown sum.", "en"), ("Il consiglio ha venduto la casa e il giardino per una somma ignota.", "it"), ("El consejo vendió la casa y el jardín por una suma desconocida.", "es")]
+    judge = langid.Classifier(langid.build(texts))
+    whole = langid.Classifier(langid.build(texts))
+    whole.shortlist = lambda words: list(range(len(whole.names)))
+    rng, words = random.Random(6), [t.split() for t, _ in texts]
+    for _ in range(400):
+        w = rng.choice(words)
+        at = rng.randrange(len(w))
+        piece = " ".join(w[at : at + rng.randrange(1, 14)])
+        assert judge(piece)[0] == whole(piece)[0], piece
+
+
 def test_scans():
     lines = ["THE OLD TITLE OF BOOK    4", "the council rejected the annua1 budget and the loan was app-", "roved by the second council in the town and the budget was", "THE OLD TITLE OF BOOK    5", "approved by a narrow majority of the council in the second", "    [6]"]
     known = {"annual": 900, "approved": 500, "budget": 400, "council": 800, "the": 9000}
