@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_segments": langid.p2_segments,
         "p3_found": sitelines.p3_found,
         "p3_cleaned": sitelines.p3_cleaned,
+        "p3_tests": sitelines.p3_tests,
         "p4_found": names.p4_found,
         "p5_found": neardup.p5_found,
         "p6_found": scans.p6_found,

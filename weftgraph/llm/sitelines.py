@@ -56,34 +56,47 @@ def _g2(k: Column, n: Column, k0: Column, n0: Column) -> Column:
     return 2 * (term(k, n * p) + term(n - k, n * (1 - p)) + term(k0, n0 * p) + term(n0 - k0, n0 * (1 - p)))
 
 
-def excess_lines(rows: DataFrame, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE, fdr: float = FDR) -> DataFrame:
-    """(site, key, k, n, g2) of the lines whose excess within the site is significant and large."""
+def tested_lines(rows: DataFrame, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(site, key, k, n, g2, bin, large) of every line of every site: its excess over the other sites, ranked in bins of -ln p.
+
+    ``large`` tells whether the excess has the wanted size. Sites on which a line is large leave its background.
+    """
     keys = F.array_distinct(F.filter("keys", lambda x: x.isNotNull()))
     counts = rows.select("site", F.explode(keys).alias("key")).groupBy("site", "key").agg(F.count("*").alias("k"))
     sizes = rows.groupBy("site").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("all_rows"))
     known = counts.join(sizes, "site").withColumn("large", (F.col("k") >= least_rows) & (F.col("k") >= least_share * F.col("n")))
-    large = known.where("large")
-    outside = (
-        known.join(large.select("key").distinct(), "key", "left_semi")
-        .groupBy("key")
-        .agg(F.sum(F.when(~F.col("large"), F.col("k")).otherwise(0)).alias("k0"), F.sum(F.when(F.col("large"), F.col("n")).otherwise(0)).alias("n_large"))
+    # one site only has most lines: sums by key combine before their shuffle
+    outside = known.groupBy("key").agg(
+        F.sum(F.when(~F.col("large"), F.col("k")).otherwise(0)).alias("k0"), F.sum(F.when(F.col("large"), F.col("n")).otherwise(0)).alias("n_large")
     )
-    tested = (
-        large.join(outside, "key")
+    own = F.when(F.col("large"), F.lit(0))  # a line that is not large on this site is part of its own background's sums
+    return (
+        known.join(outside, "key")
         .join(F.broadcast(total))  # one row
-        .withColumn("n0", F.greatest(F.col("all_rows") - F.col("n_large"), F.col("k0")))
+        .withColumn("k0", F.col("k0") - F.coalesce(own, F.col("k")))
+        .withColumn("n0", F.greatest(F.col("all_rows") - F.col("n_large") - F.coalesce(own, F.col("n")), F.col("k0")))
         .withColumn("g2", _g2(F.col("k"), F.col("n"), F.col("k0") + PRIOR_HITS, F.col("n0") + PRIOR_ROWS))
-        .where(F.col("k") * (F.col("n0") + PRIOR_ROWS) > (F.col("k0") + PRIOR_HITS) * F.col("n"))
+        .withColumn("more", F.col("k") * (F.col("n0") + PRIOR_ROWS) > (F.col("k0") + PRIOR_HITS) * F.col("n"))
         # the tail of chi-square with one degree of freedom is at most exp(-g/2) / sqrt(pi g / 2)
-        .withColumn("strength", F.greatest(F.lit(0.0), F.col("g2") / 2 + 0.5 * F.log(F.greatest(F.col("g2"), F.lit(1e-9)) * 1.5707963)))
+        .withColumn("strength", F.when(F.col("more"), F.greatest(F.lit(0.0), F.col("g2") / 2 + 0.5 * F.log(F.greatest(F.col("g2"), F.lit(1e-9)) * 1.5707963))).otherwise(0.0))
         .withColumn("bin", F.least(F.floor(F.col("strength") / BIN), F.lit(BINS)).cast("int"))
+        .select("site", "key", "k", "n", "g2", "bin", "large")
     )
+
+
+def least_bin(tested: DataFrame, fdr: float = FDR) -> DataFrame:
+    """The least bin that the Benjamini-Hochberg rule keeps among all tests, in one row; null if it keeps none."""
     ranked = tested.groupBy("bin").agg(F.count("*").alias("in_bin"))
     upto = W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)  # over at most BINS rows
     steps = ranked.select("bin", F.sum("in_bin").over(upto).alias("rank"), F.sum("in_bin").over(W.partitionBy()).alias("tests"))
-    bound = steps.where(F.exp(-F.col("bin") * BIN) <= fdr * F.col("rank") / F.col("tests")).agg(F.min("bin").alias("least_bin"))
-    return tested.join(F.broadcast(bound)).where("bin >= least_bin").select("site", "key", "k", "n", "g2")
+    return steps.where(F.exp(-F.col("bin") * BIN) <= fdr * F.col("rank") / F.col("tests")).agg(F.min("bin").alias("least_bin"))
+
+
+def excess_lines(rows: DataFrame, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE, fdr: float = FDR) -> DataFrame:
+    """(site, key, k, n, g2) of the lines whose excess within the site is significant among all lines of all sites, and large."""
+    tested = cut(tested_lines(rows, least_rows, least_share))
+    return tested.where("large").join(F.broadcast(least_bin(tested, fdr))).where("bin >= least_bin").select("site", "key", "k", "n", "g2")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +107,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of every row that takes part without its site's repeated lines; null when no line is left."""
+    """The text of every row that takes part without its site's repeated lines; null when no line is left.
+
+    Only the numbers of the removed lines are gathered and joined; the texts are split and filtered in place.
+    """
     content = load(spark, sf_dir, "content_item", "item_id", "url", "raw_content", "content_type", "source_url")
     rows = site_lines(content)
-    texts = content.select("item_id", F.split("raw_content", "\n").alias("lines"))
-    lines = rows.join(texts, "item_id").select("item_id", "site", F.posexplode(F.arrays_zip("keys", "lines")).alias("line_no", "x"))
-    kept = lines.select("item_id", "site", "line_no", "x.keys", "x.lines").join(
-        excess_lines(rows).select("site", F.col("key").alias("keys")), ["site", "keys"], "left_anti"
+    lines = rows.select("item_id", "site", F.posexplode("keys").alias("line_no", "key")).where(F.col("key").isNotNull())
+    gone = (
+        lines.join(excess_lines(rows).select("site", "key"), ["site", "key"], "left_semi").groupBy("item_id").agg(F.collect_list("line_no").alias("gone"))  # of one text's lines
+    )
+    texts = content.where((F.col("content_type") == "webpage") & F.col("raw_content").isNotNull() & host(F.coalesce("source_url", "url")).isNotNull())
+    split = F.split("raw_content", "\n")
+    kept = F.filter(split, lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("raw_content")).when(F.size(kept) > 0, F.array_join(kept, "\n"))
+    return texts.select("item_id", "raw_content").join(gone, "item_id", "left").select("item_id", text.alias("text"))
+
+
+def p3_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines are tested, significant, large, and both, by site."""
+    tested = cut(tested_lines(site_lines(load(spark, sf_dir, "content_item", "item_id", "url", "raw_content", "content_type", "source_url"))))
+    marked = tested.join(F.broadcast(least_bin(tested))).withColumn("significant", F.coalesce(F.col("bin") >= F.col("least_bin"), F.lit(False)))
+    return marked.groupBy("site").agg(
+        F.count("*").alias("n_tests"), F.count_if("significant").alias("n_significant"), F.count_if("large").alias("n_large"), F.count_if(F.col("significant") & F.col("large")).alias("n_found")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "lines")))
-    text = kept.groupBy("item_id").agg(F.array_join(F.transform(ordered, lambda x: x["lines"]), "\n").alias("text"))
-    return rows.select("item_id").join(text, "item_id", "left")
 
 
 P3_FOUND_SQL = r"""
