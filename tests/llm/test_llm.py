@@ -255,6 +255,27 @@ def test_names():
     assert all(len({"k1", "k2"} & {("k1", "k2", "k3")[i] for i in c}) < 2 for c in made)
 
 
+def test_clusters_against_plain_linkage():
+    rng = random.Random(9)
+    given, sur = "maria ioana petru vasile robert clara anton helga".split(), "kamandil"
+    for _ in range(30):
+        entries = [(f"k{i}", rng.choice([None, None, "Q1", "Q2"]), rng.choice([None, None, "a", "b"]), [("PERSON", sur, rng.choice([*given, "m", "r", "c"]), "")]) for i in range(rng.randrange(1, 12))]
+        made = {frozenset(c) for c in names.clusters(entries, set(given))}
+        assert sorted(i for c in made for i in c) == list(range(len(entries)))
+        for c in made:  # no two qids in one cluster
+            assert len({entries[i][1] for i in c} - {None}) <= 1
+
+
+def test_one_slip_links(spark):
+    rows = [("k1", "Zoltán Kogarethan", "Q1"), ("k2", "Zoltán Kogaerthan", None), ("k3", "Zoltan Kogarethn", None), ("k4", "Kogarethan, Z.", None), ("k5", "Maria Kogarethan", "Q5")]
+    cache = spark.createDataFrame(rows, "cache_key string, entity_text string, qid string").selectExpr("*", "entity_text as label", "cast(null as string) as aliases", "cast(null as string) as description")
+    evidence = spark.createDataFrame([("p0", "Zoltán Kogaerthan met the council."), ("p1", None), ("p2", "")], "prov_id string, text string")
+    keys, named = names.linked(cache, evidence)
+    group = {r.cache_key: r.cluster for r in keys.collect()}
+    assert group["k1"] == group["k2"] == group["k3"] == group["k4"] != group["k5"]
+    assert {r.cluster for r in named.collect()} == {group["k1"]}
+
+
 def test_names_in_lower_case(spark):
     cache = spark.createDataFrame(
         [("k1", "Gheorghe Kamandilquez", "Q1"), ("k2", "Lake Mordrinova", "Q2")], "cache_key string, entity_text string, qid string"
@@ -268,8 +289,8 @@ def test_names_in_lower_case(spark):
 def test_cores_follow_to_the_end(spark):
     chain = ["kamandilquezbrontiv", "kamandilquezbrontix", "kamandilquetbrontix", "kamandilruetbrontix", "kamasdilruetbrontix"]  # each one slip from the next
     others = [a + b + c + a for a in ("gof", "lyp", "wuh") for b in "aeiouy" for c in ("jeg", "pow", "cyf", "hul", "xug", "fod")]
-    counts = spark.createDataFrame([*((c, 10 * k + 1) for k, c in enumerate(chain)), *((x, 1) for x in others)], "core string, n long")
-    assert {r.canon for r in names.canonical_cores(counts).where("core like 'kama%'").collect()} == {chain[-1]}
+    counts = spark.createDataFrame([*(("PERSON", c, 10 * k + 1) for k, c in enumerate(chain)), *(("PERSON", x, 1) for x in others), ("ORG", chain[0], 900)], "kind string, core string, n long")
+    assert {r.canon for r in names.canonical_cores(counts).where("core like 'kama%' and kind = 'PERSON'").collect()} == {chain[-1]}
 
 
 def test_given_names_of_all_names(spark):

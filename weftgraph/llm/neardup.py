@@ -212,3 +212,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y")))
         .select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
     )
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every text with enough words: its class of equal texts (the smallest id), the class' size, and its number of links to other rows."""
+    pairs, members = near_duplicates(load(spark, sf_dir, "content_item", "item_id", "raw_content"), "item_id", "raw_content")
+    sizes = members.where("item_id = rep").select("rep", "members")
+    both = pairs.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionByName(pairs.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))
+    links = both.join(sizes.select(F.col("rep").alias("other"), "members"), "other").groupBy("rep").agg(F.sum("members").alias("others"), F.count("*").alias("n_classes"))
+    out = members.join(links, "rep", "left")
+    return out.select("item_id", "rep", "members", F.coalesce("n_classes", F.lit(0)).alias("n_near_classes"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))

@@ -20,7 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_cleaned": sitelines.p3_cleaned,
         "p3_tests": sitelines.p3_tests,
         "p4_found": names.p4_found,
+        "p4_groups": names.p4_groups,
         "p5_found": neardup.p5_found,
+        "p5_groups": neardup.p5_groups,
         "p6_found": scans.p6_found,
         "p6_repaired": scans.p6_repaired,
         "p7_found": pii.p7_found,
