@@ -76,7 +76,7 @@ def test_site_lines(spark):
 
 
 def test_truncated_endings():
-    kinds = {"It was late. The man wal": "word", "He said [+120 chars]": "mark", "All is well.": "closed", "He came,": "open", "Text.\nOslo, 2019": "closed", "Text.\n - 54 -": "closed", "Done. 🙂": "closed", "The man (a lawyer": "open"}
+    kinds = {"It was late. The man wal": "word", "He said [+120 chars]": "mark", "All is well.": "closed", "He came,": "open", "Text.\nOslo, 2019": "closed", "Text. Two years later, the ind": "word", "Text.\n - 54 -": "closed", "Done. 🙂": "closed", "The man (a lawyer": "open"}
     for text, kind in kinds.items():
         assert truncated.ending(text)[0] == kind, text
     lengths = np.concatenate([np.arange(300, 900, 7), [1500]])
@@ -110,6 +110,29 @@ def _records():
     return rows
 
 
+def test_truncated_planted(spark):
+    rng = random.Random(12)
+    nouns = "council harbour ledger bridge school archive ferry orchard budget museum garden railway".split()
+    sentence = lambda: f"The {rng.choice(nouns)} near the {rng.choice(nouns)} approved the {rng.choice(nouns)} of the {rng.choice(nouns)}."
+    rows, cut_ids = [], set()
+    for i in range(700):
+        text = " ".join(sentence() for _ in range(rng.randrange(2, 14)))
+        if i % 3 == 0 and len(text) > 300:
+            text = text[:300].rstrip() if text[299] != " " else text[:299] + text[300]
+            if len(text) == 300 and text[-1] not in ". ":
+                cut_ids.add(i)
+        elif i % 50 == 1:
+            text = text[: len(text) // 2].rsplit(" ", 1)[0] + "&nb"
+            cut_ids.add(i)
+        elif i % 7 == 2:
+            text = text + "\nOslo, 2019"
+        rows.append((i, "one" if i % 2 else "two", text))
+    rows += [(9000, None, None), (9001, "one", ""), (9002, "two", " \n")]
+    found = {r.doc_id for r in truncated.judged(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("log_odds > 0").collect()}
+    assert len(found & cut_ids) >= 0.95 * len(cut_ids) and len(found & cut_ids) >= 0.95 * len(found)
+    assert truncated.judged(spark.createDataFrame(rows[:0] or [], "doc_id long, source string, text string")).count() == 0
+
+
 def test_residue_decided_by_the_classifier():
     rows = _records()
     w, scale, least, report = residue.train([r[:3] for r in rows[:600]])

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.runtime import cut, load, ship, spread
 
-#: Log-odds of endings, and the prior log-odds of a cut in transfer.
-EVIDENCE = {"mark": 9.0, "open": 4.5, "neutral": -1.5, "closed": -6.0}
+#: Log-odds of endings (a closed one outweighs any limit, since a cut within a sentence leaves none), and the prior log-odds of a cut in transfer.
+EVIDENCE = {"mark": 9.0, "open": 4.5, "neutral": -1.5, "closed": -9.0}
 PRIOR = -2.9
 #: Texts at a limit, at least, and how far they must exceed the fitted density.
 LEAST_AT_LIMIT, EXCESS = 5, 6.0
@@ -40,8 +40,7 @@ _BROKEN = re.compile(r"(?:&#?\w{0,6}|<[^<>\s][^<>]{0,40}|�|­|[,:;(\[/&@]|\w-)
 _SUFFIX = re.compile(r"(?:\b(?:S\.A|S\.R\.L|B\.V|S\.p\.A|Inc|Ltd|Co|Dr|Mr|Mrs|St|No|nr|[A-ZÀ-ÞА-Я])|:\s\d+)\.$")
 _PAGE = re.compile(r"^\W*(?:(?:page|p|pag|seite|стр)\W{0,2})?\s*\d+\W*(?:(?:of|von|de|sur|di|din|из|/)\s*\d+)?\W*$", re.I)
 _CLOSING = re.compile(
-    r"^(?:[—–-]\s.*|[*·•~_=\-\s]+|tel\W.*|\(.*\)|https?://\S+|[\w.+-]+@[\w.-]+|.*\|.*|(?:1[89]|20)\d\d\s?[–-]\s?(?:1[89]|20)\d\d|[^.!?]{2,40},\s(?:1[89]|20)\d\d|[A-ZÀ-ÞȘȚĂÂÎА-Я][\w.'’-]*(?:\s[A-ZÀ-ÞȘȚĂÂÎА-Я][\w.'’-]*){1,3},\s[A-ZÀ-ÞȘȚĂÂÎА-Я][\w'’-]*(?:[\s-][\w'’-]+){0,2})$",
-    re.I | re.U,
+    r"^(?:[—–-]\s.*|[*·•~_=\-\s]+|[Tt][Ee][Ll]\W.*|\(.*\)|https?://\S+|[\w.+-]+@[\w.-]+|.*\|.*|(?:1[89]|20)\d\d\s?[–-]\s?(?:1[89]|20)\d\d|[^.!?]{2,40},\s(?:1[89]|20)\d\d|[A-ZÀ-ÞȘȚĂÂÎА-Я][\w.'’-]*(?:\s[A-ZÀ-ÞȘȚĂÂÎА-Я][\w.'’-]*){1,3},\s[A-ZÀ-ÞȘȚĂÂÎА-Я][\w'’-]*(?:[\s-][\w'’-]+){0,2})$"
 )
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _TOKENS = re.compile(r"[^\W\d_]+[.!?…]?")
@@ -144,7 +143,7 @@ def limits_of(lengths: np.ndarray, counts: np.ndarray, slack: int) -> list[tuple
     out = []
     total = counts.sum()
     for c, n in zip(lengths, counts, strict=True):
-        if n < max(LEAST_AT_LIMIT, 0.01 * total):
+        if n < LEAST_AT_LIMIT:
             continue
         own = (lengths <= c) & (lengths >= c - slack)
         near = (np.abs(lengths - c) <= 60) & ~((lengths <= c + 3) & (lengths >= c - 3))
@@ -193,7 +192,9 @@ def judged(df: DataFrame) -> DataFrame:
 
     with_limits = docs.join(at("chars"), docs.source.eqNullSafe(F.col("s")) & (docs.chars == F.col("l")), "left").drop("s", "l")
     with_limits = with_limits.join(at("bytes"), with_limits.source.eqNullSafe(F.col("s")) & (with_limits.bytes == F.col("l")), "left").drop("s", "l")
-    known = with_limits.join(words, "word", "left")
+    # most texts end in no bare word: their null keys are spread, since they meet nothing
+    key = F.coalesce("word", F.concat(F.lit("\u0000"), F.col("doc_id").cast("string")))
+    known = with_limits.withColumn("key", key).join(words.where("word is not null").withColumnRenamed("word", "key"), "key", "left")
     open_word = (F.length("word") == 1) | F.col("n").isNull() | (F.col("n") <= 1) | (F.col("n_end") < ENDS * F.col("n"))
     kind = F.when(F.col("kind") == "word", F.when(open_word, "open").otherwise("neutral")).otherwise(F.col("kind"))
     table = F.create_map(*[F.lit(x) for pair in EVIDENCE.items() for x in pair])
