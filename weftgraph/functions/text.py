@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.constants import COMMON_WORDS, INVALID_WORDS, NAV_WORDS
+from weftgraph.functions.clean import matching_key, to_ascii
 
 
 def strip(text: Column) -> Column:
@@ -44,7 +45,8 @@ def clean_name(name: Column) -> Column:
 
 
 def unification_key(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+    """Letters and digits of the name's ASCII form, so that accents do not part spellings."""
+    return F.regexp_replace(matching_key(name), "[^a-z0-9]", "")
 
 
 def sorted_words(name: Column) -> Column:
@@ -59,32 +61,34 @@ def quality_ratios(text: Column) -> tuple[Column, Column]:
     return letters, common / F.size(words)
 
 
-def good_blocks(text: Column) -> Column:
-    """The blocks of a page that are content: long enough, few symbols, digits and marks, no navigation words."""
+def is_quality(text: Column) -> Column:
+    """At least 100 characters, half of them letters, and one word in twenty a common English one."""
+    letters, common = quality_ratios(text)
+    return (F.length(text) >= 100) & (letters >= 0.5) & (common >= 0.05)
+
+
+def is_good_block(b: Column) -> Column:
+    """Content rather than page furniture: long enough, few symbols, digits and marks, no navigation words, not crowded with addresses. The cheap tests come first."""
 
     def count(block: Column, pattern: str) -> Column:
         return F.length(block) - F.length(F.regexp_replace(block, pattern, ""))
 
-    def good(b: Column) -> Column:
-        low = F.lower(b)
-        words = F.size(F.split(squeeze(b), " "))
-        crowded = ((count(b, "@") > 10) | (count(low, "http") / 4 > 10)) & (count(b, r"\p{L}") < 30)
-        nav = None
-        for w in NAV_WORDS:
-            hit = F.contains(low, F.lit(w))
-            nav = hit if nav is None else nav | hit
-        return (
-            (F.length(b) >= 40) & (count(b, r"[\[\]{}()©®™|→←↑↓•·»«]") <= 0.15 * F.length(b)) & (count(b, r"\p{Nd}") <= 0.4 * F.length(b)) & (count(b, "[.,;:!?–—-]") <= 2 * words) & ~crowded & ~nav
-        )
-
-    return F.filter(F.transform(F.split(text, "\n\n"), strip), good)
-
-
-@F.pandas_udf(T.StringType())
-def ascii_fold(s: pd.Series) -> pd.Series:
-    """Letters without accents; null stays null."""
-    special = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "æ": "ae", "Æ": "AE", "œ": "oe"})
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x.translate(special)) if not unicodedata.combining(c)))
+    low = F.lower(b)
+    crowded = ((count(b, "@") > 10) | (F.length(low) - F.length(F.replace(low, F.lit("http"), F.lit(""))) > 40)) & (count(b, r"\p{L}") < 30)
+    nav = low.rlike("|".join(re.escape(w) for w in NAV_WORDS))
+    dense = count(b, "[.,;:!?–—-]") > 2 * F.size(F.split(squeeze(b), " "))
+    symbols, digits = count(b, r"[\[\]{}()©®™|→←↑↓•·»«]") <= 0.15 * F.length(b), count(b, r"\p{Nd}") <= 0.4 * F.length(b)
+    return (F.length(b) >= 40) & ~nav & symbols & digits & ~dense & ~crowded
+
+
+def good_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, b) of the blocks of a page that are content; blocks are rows before they are tested, so the tests are compiled."""
+    blocks = df.where(F.col(text).isNotNull()).select(key, F.explode(F.split(text, "\n\n")).alias("b")).select(key, strip(F.col("b")).alias("b"))
+    return blocks.where(is_good_block(F.col("b")))
+
+
+def ascii_fold(name: str) -> Column:
+    return to_ascii(F.col(name))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.constants import CORPORATE_WORDS, DOCUMENT_EXTENSIONS, URL_STOP
@@ -78,3 +78,18 @@ def url_relevance(url: Column, query: Column) -> Column:
         - F.when(depth > 3, 0.1 * (depth - 3)).otherwise(0.0)
     )
     return F.greatest(F.lit(0.0), score)
+
+
+def manifest_form(url: Column) -> Column:
+    """Lower-case scheme and host, no fragment, no trailing slashes except for a root path; the query stays."""
+    head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    p = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    q = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    return F.concat(F.lower(head), F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", "")), F.when(q == "?", "").otherwise(q))
+
+
+def site_list(df: DataFrame, url: str, seq: str) -> DataFrame:
+    """The hosts of a column once each, in order of first sight, in one row; for lists of settings or of sites."""
+    first = df.where(F.col(url).isNotNull()).groupBy(host(F.col(url)).alias("h")).agg(F.min(seq).alias("s")).where("h is not null")
+    ordered = F.array_sort(F.collect_list(F.struct("s", "h")))  # a row for each site
+    return first.agg(F.array_join(F.transform(ordered, lambda x: x["h"]), ",").alias("sites"), F.count("*").alias("n"))

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Values of a fold that a double can tell apart: 2^-64 is below its precision.
+WEIGHED = 64
+
+
 def clamped(confidence: Column) -> Column:
     """Confidence within 0 and 1; null stays null, NaN becomes null."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(confidence, F.lit(None).cast("double"))))
@@ -18,12 +22,14 @@ def dedupe_provenance(df: DataFrame) -> DataFrame:
     Null texts and sources form their own keys. Dates are kept sorted and distinct.
     """
     key = (F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("text_key"), F.lower(F.trim(F.coalesce("source_url", F.lit("")))).alias("url_key"))
-    return df.groupBy(*key).agg(
+    once = df.groupBy(*key).agg(
         F.min("prov_id").alias("prov_id"),
         F.max(clamped(F.col("confidence"))).alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("dates", F.array().cast("array<string>")))))).alias("dates"),
         F.count("*").alias("n_records"),
     )
+    # distinct dates combine before their shuffle, so a key with many records gathers its dates only
+    dated = df.select(*key, F.explode("dates").alias("date")).distinct().groupBy("text_key", "url_key").agg(F.array_sort(F.collect_list("date")).alias("dates"))
+    return once.join(dated, ["text_key", "url_key"], "left").select("text_key", "url_key", "prov_id", "confidence", F.coalesce("dates", F.array().cast("array<string>")).alias("dates"), "n_records")
 
 
 def merge_reasons(df: DataFrame, edge: list[str], text: str, url: str) -> DataFrame:
@@ -41,19 +47,25 @@ def encode_legacy(text: Column, url: Column, confidence: Column, dates: Column)
 
 
 def decode_legacy(reason: Column) -> Column:
-    """Struct (text, url, confidence, dates) of a legacy string."""
-    parts = F.split(reason, r"\|\|\|")
-    rest = F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit(""))
+    """Struct (text, url, confidence, dates) of a legacy string; the marks are looked for from the end, so a text may hold them itself."""
+    tail = r"(?s)^(.*?)\|\|\|([^|]*)(?:\|\|\|((?:confidence:[0-9.]+)?(?:\[dates:[^\]]*\])?))?$"
+    rest = F.regexp_extract(reason, tail, 3)
     conf = F.nullif(F.regexp_extract(rest, r"confidence:([0-9.]+)", 1), F.lit(""))
     dates = F.nullif(F.regexp_extract(rest, r"\[dates:([^\]]*)\]", 1), F.lit(""))
+    marked = reason.rlike(tail)
     return F.struct(
-        F.element_at(parts, 1).alias("text"),
-        F.coalesce(F.nullif(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit("unknown")).alias("url"),
+        F.when(marked, F.regexp_extract(reason, tail, 1)).otherwise(reason).alias("text"),
+        F.coalesce(F.nullif(F.when(marked, F.regexp_extract(reason, tail, 2)), F.lit("")), F.lit("unknown")).alias("url"),
         conf.cast("double").alias("confidence"),
         F.when(dates.isNotNull(), F.split(dates, ",")).alias("dates"),
     )
 
 
+def decode_legacy_list(reasons: Column) -> Column:
+    """Structs of a list of legacy strings."""
+    return F.transform(reasons, lambda r: decode_legacy(r))
+
+
 def aggregate_edges(df: DataFrame, a: str, b: str, confidence: str, kind: str, date: str, seq: str) -> DataFrame:
     """Undirected edges: evidence count, mean confidence, most common kind (ties to the first seen), first and last date. Self-loops are dropped.
 
@@ -71,10 +83,16 @@ def aggregate_edges(df: DataFrame, a: str, b: str, confidence: str, kind: str, d
 
 
 def folded_confidence(df: DataFrame, key: str, confidence: str, seq: str) -> DataFrame:
-    """The order-dependent confidence of repeated merges, (old + new) / 2 in order of ``seq``; nulls are skipped."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col(confidence).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(confidence).alias("c")))))
-    fold = F.aggregate(ordered, F.lit(None).cast("double"), lambda acc, x: F.coalesce((acc + x["c"]) / 2, x["c"]))
-    return df.groupBy(key).agg(fold.alias("confidence"))
+    """The order-dependent confidence of repeated merges, (old + new) / 2 in order of ``seq``; nulls are skipped.
+
+    The fold is a sum of c / 2^k, k counted from the last, so only the last WEIGHED values of a key matter
+    to a double; earlier ones weigh less than its precision.
+    """
+    rows = df.where(F.col(confidence).isNotNull()).select(key, F.col(confidence).alias("c"), F.col(seq).alias("s"))
+    last = rows.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(F.desc("s")))).where(F.col("k") <= WEIGHED)
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    weight = F.when(F.col("k") == F.col("n"), F.pow(F.lit(0.5), F.col("n") - 1)).otherwise(F.pow(F.lit(0.5), F.col("k")))
+    return last.join(n, key).groupBy(key).agg(F.sum(F.col("c") * weight).alias("confidence"))
 
 
 def most_common(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:

@@ -90,3 +90,11 @@ def contract(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     b = mapping.select(F.col("node").alias("dst"), F.col("into").alias("dst_into"))
     moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_into", "src").alias("a"), F.coalesce("dst_into", "dst").alias("b"), "n")
     return moved.where("a <> b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("n").alias("n"))
+
+
+def partial_names(df: DataFrame, name: str) -> DataFrame:
+    """(partial, full_name): single-word names that are a word of a longer name; an equi join on the word, so no pair of names is compared."""
+    names = df.where(F.col(name) != "").select(F.col(name).alias("full_name")).distinct()
+    words = names.where("contains(full_name, ' ')").select("full_name", F.explode(F.array_distinct(F.split(F.lower("full_name"), " "))).alias("word"))
+    single = names.where("not contains(full_name, ' ')").select(F.col("full_name").alias("partial"), F.lower("full_name").alias("word"))
+    return single.join(words, "word").select("partial", "full_name")

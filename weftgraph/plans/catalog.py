@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,43 +10,20 @@ from weftgraph.constants import LABEL_PRIORITY, NAV_WORDS, PERSON_DORKS, RELATIO
 from weftgraph.functions import text as tx
 from weftgraph.functions import urls
 from weftgraph.operators import contacts, evidence, graph, ranking, temporal
+from weftgraph.plans.registry import QUERIES as _QUERIES
+from weftgraph.plans.registry import SQL as _SQL
+from weftgraph.plans.registry import Query
+from weftgraph.plans.registry import host_sql as _host
+from weftgraph.plans.registry import path_sql as _path
+from weftgraph.plans.registry import query as _query
+from weftgraph.plans.registry import quoted as _quoted
 from weftgraph.runtime import load
 from weftgraph.sources import tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 #: Terms of the relevance queries and the moment of the cache queries.
 TERMS, NOW = ["public", "harbour", "inquiry"], 1735689600
 
 
-def _query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _quoted(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
-
-_HOST = "nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(trim({u}), '^[A-Za-z][A-Za-z0-9+.\\-]*:(//)?|^//', ''), '^([^/?#\\\\]*)', 1), '^.*@', '')), ':\\d*$', ''), '^www\\.', ''), '')"
-_PATH = "regexp_replace(regexp_replace({u}, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '')"
-
-
-def _host(u: str) -> str:
-    return _HOST.replace("{u}", u)
-
-
-def _path(u: str) -> str:
-    return _PATH.replace("{u}", u)
-
-
 # ---- URLs
 
 
@@ -97,7 +72,11 @@ def clean_names(spark, d):
     return load(spark, d, "wikidata_cache", "entity_text").where("entity_text is not null").distinct().select("entity_text", tx.clean_name(F.col("entity_text")).alias("name"))
 
 
-@_query("""SELECT regexp_replace(lower(entity_text), '[^a-z0-9]', '', 'g') AS key, count(DISTINCT entity_text) AS n_names, min(entity_text) AS first_name FROM wikidata_cache WHERE entity_text IS NOT NULL GROUP BY 1""")
+def _key(x: str) -> str:
+    return f"regexp_replace(strip_accents(replace(replace(replace(lower({x}), 'ø', 'o'), 'ß', 'ss'), 'æ', 'ae')), '[^a-z0-9]', '', 'g')"
+
+
+@_query(f"""SELECT {_key('entity_text')} AS key, count(DISTINCT entity_text) AS n_names, min(entity_text) AS first_name FROM wikidata_cache WHERE entity_text IS NOT NULL GROUP BY 1""")
 def unify_keys(spark, d):
     return load(spark, d, "wikidata_cache", "entity_text").where("entity_text is not null").groupBy(tx.unification_key(F.col("entity_text")).alias("key")).agg(F.countDistinct("entity_text").alias("n_names"), F.min("entity_text").alias("first_name"))
 
@@ -122,11 +101,12 @@ def text_quality(spark, d):
 @_query(rf"""WITH b AS (SELECT item_id, unnest(string_split(raw_content, chr(10) || chr(10))) AS raw FROM content_item WHERE raw_content IS NOT NULL),
  s AS (SELECT item_id, regexp_replace(raw, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS b FROM b),
  g AS (SELECT item_id, b FROM s WHERE length(b) >= 40 AND length(b) - length(regexp_replace(b, '[\[\]{{}}()©®™|→←↑↓•·»«]', '', 'g')) <= 0.15 * length(b)
+  AND NOT ((length(b) - length(replace(b, '@', '')) > 10 OR length(lower(b)) - length(replace(lower(b), 'http', '')) > 40) AND length(b) - length(regexp_replace(b, '\p{{L}}', '', 'g')) < 30)
   AND length(b) - length(regexp_replace(b, '\p{{Nd}}', '', 'g')) <= 0.4 * length(b) AND length(b) - length(regexp_replace(b, '[.,;:!?–—-]', '', 'g')) <= 2 * len(string_split(trim(regexp_replace(b, '[ \t\n\r\f]+', ' ', 'g')), ' '))
   AND NOT {' AND NOT '.join("contains(lower(b), '" + w.replace("'", "''") + "')" for w in NAV_WORDS)})
  SELECT item_id, count(*) AS n_blocks, sum(length(b))::BIGINT AS n_chars FROM g GROUP BY item_id""")
 def block_filter(spark, d):
-    c = load(spark, d, "content_item", "item_id", "raw_content").where("raw_content is not null").select("item_id", F.explode(tx.good_blocks(F.col("raw_content"))).alias("b"))
+    c = tx.good_blocks(load(spark, d, "content_item", "item_id", "raw_content"), "item_id", "raw_content")
     return c.groupBy("item_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("b").cast("bigint")).alias("n_chars"))
 
 
@@ -189,11 +169,11 @@ def reason_merge(spark, d):
     return evidence.merge_reasons(p, ["relation_type"], "text", "source_url")
 
 
-@_query("""SELECT prov_id, text, coalesce(source_url, 'unknown') AS url, CASE WHEN isnan(confidence) OR confidence < 0 OR confidence > 1 THEN NULL ELSE abs(round(confidence, 3)) END AS confidence, array_to_string(dates, ',') AS dates
- FROM provenance WHERE text IS NOT NULL AND NOT contains(text, '|') AND (confidence IS NULL OR NOT isnan(confidence)) AND len(dates) > 0""")
+@_query("""SELECT prov_id, text, coalesce(nullif(source_url, ''), 'unknown') AS url, CASE WHEN isnan(confidence) OR confidence < 0 OR confidence > 1 THEN NULL ELSE abs(round(confidence, 3)) END AS confidence, CASE WHEN len(dates) > 0 THEN array_to_string(dates, ',') END AS dates
+ FROM provenance WHERE text IS NOT NULL""")
 def legacy_round_trip(spark, d):
-    p = load(spark, d, "provenance", "prov_id", "text", "source_url", "confidence", "dates").where("text is not null and not contains(text, '|') and (confidence is null or not isnan(confidence)) and size(dates) > 0")
-    c = F.when(F.col("confidence").between(0, 1), F.abs("confidence"))
+    p = load(spark, d, "provenance", "prov_id", "text", "source_url", "confidence", "dates").where("text is not null")
+    c = F.when(F.nanvl("confidence", F.lit(-1.0)).between(0, 1), F.abs("confidence"))
     back = p.select("prov_id", evidence.decode_legacy(evidence.encode_legacy(F.col("text"), F.col("source_url"), c, F.col("dates"))).alias("r"))
     return back.select("prov_id", "r.text", "r.url", "r.confidence", F.array_join("r.dates", ",").alias("dates"))
 
@@ -211,10 +191,10 @@ def edge_aggregate(spark, d):
     return e.withColumn("n_evidence", F.col("n_evidence").cast("bigint")).withColumn("confidence", F.round("confidence", 6))
 
 
-@_query("""SELECT o_custkey, round(list_reduce(list((o_orderkey % 97)::DOUBLE / 97 ORDER BY o_orderkey), lambda x, y: (x + y) / 2), 6) AS confidence FROM orders GROUP BY 1""")
+@_query("""SELECT o_custkey, round(list_reduce(list((o_orderkey % 97)::DOUBLE / 97 ORDER BY o_orderkey), lambda x, y: (x + y) / 2), 8) AS confidence FROM orders GROUP BY 1""")
 def edge_confidence_fold(spark, d):
     o = load(spark, d, "orders", "o_custkey", "o_orderkey").withColumn("c", (F.col("o_orderkey") % 97) / F.lit(97.0))
-    return evidence.folded_confidence(o, "o_custkey", "c", "o_orderkey").withColumn("confidence", F.round("confidence", 6))
+    return evidence.folded_confidence(o, "o_custkey", "c", "o_orderkey").withColumn("confidence", F.round("confidence", 8))
 
 
 @_query("""WITH k AS (SELECT source_url, relation_type, count(*) AS n, min(prov_id) AS f FROM provenance WHERE relation_type IS NOT NULL GROUP BY ALL)
@@ -303,7 +283,7 @@ def k_hop(spark, d):
     return graph.within_hops(e, graph.ends(e).select("node").where("node like 'q:%Katherine%'"), 2)
 
 
-@_query(f"""WITH e AS (SELECT query AS a, regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS ka, {_host('url')} AS b FROM search_hits WHERE query IS NOT NULL AND {_host('url')} IS NOT NULL) SELECT least(ka, b) AS src, greatest(ka, b) AS dst, count(*)::BIGINT AS n FROM e WHERE ka <> b GROUP BY ALL""")
+@_query(f"""WITH e AS (SELECT query AS a, {_key('query')} AS ka, {_host('url')} AS b FROM search_hits WHERE query IS NOT NULL AND {_host('url')} IS NOT NULL) SELECT least(ka, b) AS src, greatest(ka, b) AS dst, count(*)::BIGINT AS n FROM e WHERE ka <> b GROUP BY ALL""")
 def node_contraction(spark, d):
     h = load(spark, d, "search_hits", "query", "url").select(F.col("query").alias("src"), urls.host(F.col("url")).alias("dst")).where("src is not null and dst is not null")
     edges = h.groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -311,13 +291,11 @@ def node_contraction(spark, d):
     return graph.contract(edges, mapping)
 
 
-@_query("""WITH a AS (SELECT DISTINCT entity_text AS name FROM wikidata_cache WHERE entity_text <> ''), w AS (SELECT name, unnest(list_distinct(string_split(lower(name), ' '))) AS word FROM a)
- SELECT p.name AS partial, w.name AS full_name FROM a p JOIN w ON w.word = lower(p.name) AND w.name <> p.name WHERE NOT contains(p.name, ' ')""")
+@_query("""WITH a AS (SELECT DISTINCT e AS name FROM (SELECT unnest(entities) AS e FROM content_item) WHERE e <> ''), s AS (SELECT DISTINCT string_split(name, ' ')[-1] AS name FROM a WHERE contains(name, ' ')), w AS (SELECT name, unnest(list_distinct(string_split(lower(name), ' '))) AS word FROM a WHERE contains(name, ' '))
+ SELECT s.name AS partial, w.name AS full_name FROM s JOIN w ON w.word = lower(s.name)""")
 def partial_names(spark, d):
-    a = load(spark, d, "wikidata_cache", "entity_text").where("entity_text <> ''").distinct().withColumnRenamed("entity_text", "name")
-    words = a.select(F.col("name").alias("full_name"), F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    partial = a.where("not contains(name, ' ')").select(F.col("name").alias("partial"), F.lower("name").alias("word"))
-    return partial.join(words, "word").where("partial <> full_name").select("partial", "full_name")
+    a = load(spark, d, "content_item", F.explode("entities").alias("name")).where("name <> '' and contains(name, ' ')").distinct()
+    return graph.partial_names(a.select(F.element_at(F.split("name", " "), -1).alias("name")).unionByName(a), "name")
 
 
 @_query("""SELECT coalesce(a.url, b.url) AS url, coalesce(b.n, a.n) AS n FROM (SELECT url, count(*) AS n FROM content_item WHERE url IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT source_url AS url, count(*) AS n FROM provenance WHERE source_url IS NOT NULL GROUP BY 1) b ON a.url = b.url""")
@@ -442,10 +420,17 @@ def text_dates(spark, d):
     return load(spark, d, "provenance", "prov_id", "text").where("text is not null").select("prov_id", F.explode(temporal.years_in(F.col("text"))).alias("y")).select("prov_id", temporal.normalize_date(F.col("y")).alias("iso"))
 
 
-@_query(r"""WITH x AS (SELECT DISTINCT unnest(dates) AS raw FROM provenance), n AS (SELECT raw, CASE WHEN regexp_matches(raw, '^\d{4}$') THEN raw || '-01-01' WHEN regexp_matches(raw, '^\d{4}[-/]\d{2}[-/]\d{2}$') THEN replace(raw, '/', '-') END AS iso FROM x)
- SELECT raw, iso, CASE WHEN iso LIKE '%-01-01' THEN 'year_only' WHEN iso LIKE '%-01' THEN 'month_year' WHEN iso IS NOT NULL THEN 'full_date' END AS kind FROM n WHERE regexp_matches(raw, '^[\d/-]+$')""")
+_MONTH = "list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], substr(l, 1, 3))"
+
+
+@_query(rf"""WITH y AS (SELECT DISTINCT unnest(dates) AS raw FROM provenance), x AS (SELECT raw FROM y UNION SELECT 'from ' || substr(raw, 1, 4) || ' to ' || substr(raw, 1, 4) FROM y WHERE regexp_matches(raw, '^\d{{4}}') UNION SELECT 'March ' || substr(raw, 1, 4) FROM y WHERE regexp_matches(raw, '^\d{{4}}')),
+ l AS (SELECT raw, lower(trim(raw)) AS l FROM x WHERE raw IS NOT NULL), n AS (SELECT raw, CASE WHEN regexp_matches(l, '^(?:between |from )?(\d{{4}}) (?:to|and|-) (\d{{4}})$') THEN regexp_extract(l, '(\d{{4}}) (?:to|and|-)', 1) || '-01-01/' || regexp_extract(l, '(\d{{4}})$', 1) || '-12-31'
+  WHEN regexp_matches(l, '^\d{{4}}[-/]\d{{2}}[-/]\d{{2}}$') THEN replace(l, '/', '-') WHEN regexp_matches(l, '^[a-z]{{3,9}}\.? \d{{4}}$') AND {_MONTH} > 0 THEN right(l, 4) || '-' || lpad({_MONTH}::VARCHAR, 2, '0') || '-01' WHEN regexp_matches(l, '^\d{{4}}$') THEN l || '-01-01' END AS iso FROM l)
+ SELECT raw, iso, CASE WHEN contains(iso, '/') THEN 'range' WHEN iso LIKE '%-01-01' THEN 'year_only' WHEN iso LIKE '%-01' THEN 'month_year' WHEN iso IS NOT NULL THEN 'full_date' END AS kind FROM n""")
 def date_kinds(spark, d):
-    x = load(spark, d, "provenance", "dates").select(F.explode("dates").alias("raw")).distinct().where(F.col("raw").rlike(r"^[\d/-]+$"))
+    y = load(spark, d, "provenance", "dates").select(F.explode("dates").alias("raw")).where("raw is not null")
+    years = y.where(F.col("raw").rlike(r"^\d{4}")).select(F.substring("raw", 1, 4).alias("y"))
+    x = y.unionByName(years.select(F.concat(F.lit("from "), "y", F.lit(" to "), "y").alias("raw"))).unionByName(years.select(F.concat(F.lit("March "), "y").alias("raw"))).distinct()
     iso = temporal.normalize_date(F.col("raw"))
     return x.select("raw", iso.alias("iso"), temporal.date_type(iso).alias("kind"))
 
@@ -526,6 +511,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(degree_, "src").withColumn("rank", F.dense_rank().over(W.partitionBy("dst").orderBy(F.desc("n_evidence"), "src")))
 
 
+from weftgraph.plans import text_catalog as _text  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

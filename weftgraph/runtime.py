@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -39,17 +41,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else the warehouse on a cluster, else a local folder."""
+    """The folder that all executors share, ``spark.checkpoint.dir``; where it is unset, a folder of this process in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if not sc.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_weftgraph"
-    folder = tempfile.mkdtemp(prefix="weftgraph-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"file://{folder}"
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL:
+        folder = tempfile.mkdtemp(prefix="weftgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[sc.applicationId] = f"file://{folder}"
+    return _LOCAL[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -66,11 +69,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _remember(spark: SparkSession, path: str) -> None:
+    _WRITTEN.append(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written so far, and return how many; for long sessions, once their results are stored."""
+    n = len(_WRITTEN)
+    for path in _WRITTEN:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.clear()
+    return n
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Repartition an input that has fewer partitions than the cluster has cores; larger inputs pass unshuffled."""
     want = least or df.sparkSession.sparkContext.defaultParallelism
