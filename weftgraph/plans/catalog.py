@@ -511,7 +511,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(degree_, "src").withColumn("rank", F.dense_rank().over(W.partitionBy("dst").orderBy(F.desc("n_evidence"), "src")))
 
 
-from weftgraph.plans import text_catalog as _text  # noqa: E402, F401  registers its queries
+from weftgraph.plans import graph_catalog as _graph  # noqa: E402, F401  these register their queries
+from weftgraph.plans import text_catalog as _text  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:
