@@ -77,9 +77,11 @@ def classify_relations(df: DataFrame, key: str, text: str) -> DataFrame:
 
     The words of a text meet the fixed word list, which has about 200 rows and is broadcast.
     """
-    listed = [(w, name, k, c) for k, (name, parts) in enumerate(RELATION_TYPES.items()) for c, words in zip((3, 2, 1), parts, strict=True) for w in words.split()]
+    listed = [(w, name, k, c) for k, (name, parts) in enumerate(RELATION_TYPES.items()) for c, words in zip((3, 2, 1), parts, strict=True) for w in words]
     table = F.broadcast(df.sparkSession.createDataFrame(listed, "word string, relation string, place int, points int"))
-    words = F.array_distinct(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z-]+", " ")), " "))
+    plain = F.lower(F.regexp_replace(text, "[^A-Za-z-]+", " "))
+    phrases = F.array_compact(F.array(*[F.when(F.contains(F.concat(F.lit(" "), plain, F.lit(" ")), F.lit(f" {w} ")), F.lit(w)) for w in sorted({w for w, *_ in listed if " " in w})]))
+    words = F.array_distinct(F.concat(F.split(plain, " "), phrases))
     hits = df.select(key, F.explode(words).alias("word")).join(table, "word").select(key, "relation", "place", "points").distinct()
     scored = hits.groupBy(key, "relation", "place").agg(F.sum("points").alias("score"), F.max("points").alias("top")).where("top > 1")
     return scored.groupBy(key).agg(F.max(F.struct("score", (-F.col("place")).alias("p"), "relation")).alias("r")).select(key, "r.relation", "r.score")
@@ -88,7 +90,7 @@ def classify_relations(df: DataFrame, key: str, text: str) -> DataFrame:
 def pattern_relations(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pattern_no, relation) for every relation pattern that a text matches; the patterns are a fixed list inside the plan."""
     low = F.lower(F.col(text))
-    hits = F.array_compact(F.array(*[F.when(low.rlike(p), F.struct(F.lit(k).alias("pattern_no"), F.lit(r).alias("relation"))) for k, (r, p) in enumerate(RELATION_PATTERNS)]))
+    hits = F.array_compact(F.array(*[F.when(low.rlike(p), F.struct(F.lit(k).alias("pattern_no"), F.lit(r).alias("relation"))) for k, (r, _, p, _) in enumerate(RELATION_PATTERNS)]))
     return df.select(key, F.explode(hits).alias("h")).select(key, "h.pattern_no", "h.relation")
 
 

@@ -338,15 +338,16 @@ def page_urls_without_files(spark, d):
 # ---- relations
 
 
-@_query(f"""SELECT prov_id, p.pattern_no, p.relation FROM provenance v JOIN (VALUES {', '.join(f"({k}, '{r}', '{x}')" for k, (r, x) in enumerate(RELATION_PATTERNS))}) p(pattern_no, relation, pattern) ON regexp_matches(lower(v.text), p.pattern)""")
+@_query(f"""SELECT prov_id, p.pattern_no, p.relation FROM provenance v JOIN (VALUES {', '.join(f"({k}, '{r}', '{x}')" for k, (r, _, x, _) in enumerate(RELATION_PATTERNS))}) p(pattern_no, relation, pattern) ON regexp_matches(lower(v.text), p.pattern)""")
 def pattern_relations(spark, d):
     return ranking.pattern_relations(load(spark, d, "provenance", "prov_id", "text"), "prov_id", "text")
 
 
-_RELATION_WORDS = ", ".join(f"('{w}', '{name}', {k}, {c})" for k, (name, parts) in enumerate(RELATION_TYPES.items()) for c, words in zip((3, 2, 1), parts, strict=True) for w in words.split())
+_RELATION_WORDS = ", ".join(f"('{w}', '{name}', {k}, {c})" for k, (name, parts) in enumerate(RELATION_TYPES.items()) for c, words in zip((3, 2, 1), parts, strict=True) for w in words)
 
 
-@_query(f"""WITH t(word, relation, place, points) AS (VALUES {_RELATION_WORDS}), w AS (SELECT DISTINCT prov_id, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z-]+', ' ', 'g')), ' ')) AS word FROM provenance WHERE text IS NOT NULL),
+@_query(f"""WITH t(word, relation, place, points) AS (VALUES {_RELATION_WORDS}), q AS (SELECT prov_id, lower(regexp_replace(text, '[^A-Za-z-]+', ' ', 'g')) AS x FROM provenance WHERE text IS NOT NULL),
+ w AS (SELECT DISTINCT prov_id, unnest(string_split(x, ' ')) AS word FROM q UNION SELECT prov_id, t.word FROM q JOIN t ON contains(t.word, ' ') AND contains(' ' || x || ' ', ' ' || t.word || ' ')),
  h AS (SELECT DISTINCT prov_id, relation, place, points FROM w JOIN t ON w.word = t.word), s AS (SELECT prov_id, relation, place, sum(points)::BIGINT AS score, max(points) AS top FROM h GROUP BY ALL)
  SELECT prov_id, arg_max(relation, (score, -place)) AS relation, max(score) AS score FROM s WHERE top > 1 GROUP BY prov_id""")
 def relation_types(spark, d):
@@ -511,6 +512,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(degree_, "src").withColumn("rank", F.dense_rank().over(W.partitionBy("dst").orderBy(F.desc("n_evidence"), "src")))
 
 
+from weftgraph.plans import extract_catalog as _extract  # noqa: E402, F401
 from weftgraph.plans import graph_catalog as _graph  # noqa: E402, F401  these register their queries
 from weftgraph.plans import text_catalog as _text  # noqa: E402, F401
 

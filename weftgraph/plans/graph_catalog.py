@@ -180,10 +180,10 @@ def remapped_relations(spark, d):
     return canonical.remap(pairs, names).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH e AS (SELECT DISTINCT query AS src, url AS dst FROM search_hits WHERE query IS NOT NULL AND url IS NOT NULL AND query <> url), x AS (SELECT src AS node, dst AS other FROM e UNION SELECT dst, src FROM e), g AS (SELECT node, count(*) AS degree, regexp_replace(strip_accents(replace(replace(lower(node), 'ø', 'o'), 'ß', 'ss')), '[^a-z0-9]', '', 'g') AS key FROM x GROUP BY 1)
+@query(r"""WITH e AS (SELECT DISTINCT entity_text AS src, coalesce(qid, cache_key) AS dst FROM wikidata_cache WHERE entity_text IS NOT NULL), x AS (SELECT src AS node, dst AS other FROM e UNION SELECT dst, src FROM e), g AS (SELECT node, count(*) AS degree, regexp_replace(strip_accents(replace(replace(lower(node), 'ø', 'o'), 'ß', 'ss')), '[^a-z0-9]', '', 'g') AS key FROM x GROUP BY 1)
  SELECT node, first(node) OVER (PARTITION BY key ORDER BY degree DESC, node) AS kept FROM g WHERE key <> '' QUALIFY node <> kept""")
 def unified_nodes(spark, d):
-    e = load(spark, d, "search_hits", F.col("query").alias("src"), F.col("url").alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    e = load(spark, d, "wikidata_cache", F.col("entity_text").alias("src"), F.coalesce("qid", "cache_key").alias("dst")).where("src is not null and src <> dst").distinct()
     return canonical.unify(e).withColumnRenamed("into", "kept")
 
 
