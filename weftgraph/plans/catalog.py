@@ -513,7 +513,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from weftgraph.plans import extract_catalog as _extract  # noqa: E402, F401
+from weftgraph.plans import flow_catalog as _flow  # noqa: E402, F401
 from weftgraph.plans import graph_catalog as _graph  # noqa: E402, F401  these register their queries
+from weftgraph.plans import search_catalog as _search  # noqa: E402, F401
 from weftgraph.plans import text_catalog as _text  # noqa: E402, F401
 
 
