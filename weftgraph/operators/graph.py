@@ -38,8 +38,8 @@ def node_sizes(edges: DataFrame, least: float = 12.0, most: float = 34.0) -> Dat
     return d.join(F.broadcast(span)).select("node", "degree", scaled.alias("size"))  # one row
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and component, the smallest node of its component, by alternating large-star and small-star steps.
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """node and component, the smallest node of its component, by alternating large-star and small-star steps; an error if they do not settle in ``rounds``.
 
     Each step is one aggregation; labels collapse in about log(n) rounds. A hub's neighbours are never
     gathered: the minimum combines before the shuffle.
@@ -58,6 +58,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = ends(undirected(edges, "src", "dst")).select("node").distinct()
     label = current.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("c"))
     return nodes.join(label, "node", "left").select("node", F.coalesce("c", "node").alias("component"))

@@ -40,7 +40,15 @@ def antecedent(df: DataFrame, group: str, order: list[str], value: str, is_antec
 
 
 def nearest_within(df: DataFrame, group: str, at: str, key: str, reach: int) -> DataFrame:
-    """Distance to the nearest other row of the group, where it is at most ``reach``; neighbours in order suffice, so nothing is paired."""
-    w = W.partitionBy(group).orderBy(at, key)
+    """Distance to the nearest other row of the group, where it is at most ``reach``; neighbours in order suffice, so nothing is paired.
+
+    A group is split into stretches of its offsets, each with the rows within ``reach`` of it, so a group with a
+    third of all rows is spread over as many tasks as it has stretches.
+    """
+    wide = 20 * reach
+    rows = df.where(F.col(at).isNotNull() & F.col(group).isNotNull())
+    stretch = F.explode(F.array_distinct(F.array(F.floor((F.col(at) - reach) / wide), F.floor(F.col(at) / wide), F.floor((F.col(at) + reach) / wide))))
+    w = W.partitionBy(group, "_stretch").orderBy(at, key)
     gap = F.least(F.col(at) - F.lag(at).over(w), F.lead(at).over(w) - F.col(at))
-    return df.where(F.col(at).isNotNull() & F.col(group).isNotNull()).withColumn("distance", gap).where(F.col("distance") <= reach)
+    near = rows.withColumn("_stretch", stretch).withColumn("distance", gap)
+    return near.where((F.col("_stretch") == F.floor(F.col(at) / wide)) & (F.col("distance") <= reach)).drop("_stretch")

@@ -491,9 +491,11 @@ def late_rows(spark, d):
  FROM provenance p JOIN content_item c ON c.url = p.source_url WHERE length(p.text) >= 40 AND c.raw_content IS NOT NULL GROUP BY 1""")
 def sentence_in_source(spark, d):
     p = load(spark, d, "provenance", "prov_id", "text", "source_url").where("length(text) >= 40")
-    c = load(spark, d, "content_item", "url", F.lower("raw_content").alias("page")).where("page is not null")
+    # a page that was fetched often with one text is looked through once
+    c = load(spark, d, "content_item", "url", F.lower("raw_content").alias("page")).where("page is not null and url is not null").groupBy("url", "page").agg(F.count("*").alias("n"))
     j = p.join(c, F.col("url") == F.col("source_url"))
-    return j.groupBy("prov_id").agg(F.count("*").alias("n_pages"), F.count_if(F.contains("page", F.lower("text"))).alias("n_full"), F.count_if(F.contains("page", F.lower(F.substring("text", 1, 40)))).alias("n_prefix"))
+    hits = lambda x: F.sum(F.when(F.contains("page", F.lower(x)), F.col("n")).otherwise(0))
+    return j.groupBy("prov_id").agg(F.sum("n").alias("n_pages"), hits(F.col("text")).alias("n_full"), hits(F.substring("text", 1, 40)).alias("n_prefix"))
 
 
 @_query("""SELECT source_url AS url, count(*) AS n_evidence, coalesce(array_to_string(list_sort(list_distinct(list(relation_type) FILTER (relation_type IS NOT NULL))), ','), '') AS relations FROM provenance WHERE lower(source_url) LIKE '%.pdf' GROUP BY 1""")
