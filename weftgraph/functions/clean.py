@@ -145,7 +145,7 @@ def evidence_parts(text: Column) -> Column:
         return F.trim(F.regexp_replace(F.regexp_replace(p, r"\s+([,.;:!?])", "$1"), r"\s{2,}", " "))
 
     parts = F.filter(F.transform(F.split(x, r"\s*-\s*\^\s*"), one), lambda p: F.length(p) > 3)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(F.regexp_replace(x, r"\s{2,}", " "))))
+    return F.when(F.size(parts) > 0, parts).when(text.isNotNull(), F.array(F.trim(F.regexp_replace(x, r"\s{2,}", " "))))
 
 
 def display_name(label: Column, canonical: Column, original: Column, node: Column) -> Column:

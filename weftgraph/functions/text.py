@@ -87,8 +87,9 @@ def good_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     return blocks.where(is_good_block(F.col("b")))
 
 
-def ascii_fold(name: str) -> Column:
-    return to_ascii(F.col(name))
+def ascii_fold(name: str | Column) -> Column:
+    """ASCII spelling of a column; null stays null."""
+    return to_ascii(F.col(name) if isinstance(name, str) else name)
 
 
 @F.pandas_udf(T.DoubleType())

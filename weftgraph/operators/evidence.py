@@ -88,11 +88,11 @@ def folded_confidence(df: DataFrame, key: str, confidence: str, seq: str) -> Dat
     The fold is a sum of c / 2^k, k counted from the last, so only the last WEIGHED values of a key matter
     to a double; earlier ones weigh less than its precision.
     """
-    rows = df.where(F.col(confidence).isNotNull()).select(key, F.col(confidence).alias("c"), F.col(seq).alias("s"))
-    last = rows.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(F.desc("s")))).where(F.col("k") <= WEIGHED)
-    n = rows.groupBy(key).agg(F.count("*").alias("n"))
-    weight = F.when(F.col("k") == F.col("n"), F.pow(F.lit(0.5), F.col("n") - 1)).otherwise(F.pow(F.lit(0.5), F.col("k")))
-    return last.join(n, key).groupBy(key).agg(F.sum(F.col("c") * weight).alias("confidence"))
+    rows = df.select(F.col(key).alias("_key"), F.col(confidence).alias("_c"), F.col(seq).alias("_s"))
+    last = rows.where("_c is not null").withColumn("_k", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("_s")))).where(F.col("_k") <= WEIGHED)
+    n = rows.groupBy("_key").agg(F.count("_c").alias("_n"))  # a key with nulls alone stays, with a null
+    weight = F.when(F.col("_k") == F.col("_n"), F.pow(F.lit(0.5), F.col("_n") - 1)).otherwise(F.pow(F.lit(0.5), F.col("_k")))
+    return n.join(last, "_key", "left").groupBy(F.col("_key").alias(key)).agg(F.sum(F.col("_c") * weight).alias("confidence"))
 
 
 def most_common(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
