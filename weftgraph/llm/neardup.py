@@ -10,7 +10,7 @@ signature is.
 
 Rows with a null text or fewer than the least number of words take part in no pair. Equal multisets
 are one class: only its representative (the smallest id) is banded, and members join its pairs at
-the end. Candidates are verified on the distinct word runs themselves.
+the end. Candidates are verified on 32-bit hashes of the distinct word runs.
 """
 
 from __future__ import annotations
@@ -181,8 +181,10 @@ def similar_reps(sketch: DataFrame, members: DataFrame, similarity: float = SIMI
         bits.select(F.col("item_id").alias("rep_b"), F.col("bits").alias("bits_b")), "rep_b"
     )
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    likely = seen.where(differ <= places * (0.5 * (1 - similarity) + SLACK / places**0.5)).select("rep_a", "rep_b")
-    runs = sketch.select("item_id", "runs")
+    likely = cut(seen.where(differ <= places * (0.5 * (1 - similarity) + SLACK / places**0.5)).select("rep_a", "rep_b"))
+    # most texts have no candidate: only the others' runs are written and moved to their pairs
+    paired = likely.select(F.explode(F.array("rep_a", "rep_b")).alias("item_id")).distinct()
+    runs = cut(sketch.select("item_id", "runs").join(paired, "item_id", "left_semi"))
     both = likely.join(runs.select(F.col("item_id").alias("rep_a"), F.col("runs").alias("runs_a")), "rep_a").join(
         runs.select(F.col("item_id").alias("rep_b"), F.col("runs").alias("runs_b")), "rep_b"
     )
