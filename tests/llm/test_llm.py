@@ -161,6 +161,23 @@ def test_languages():
     assert [langid.code_of(x) for x in ("RO", "de_AT", "eng", "French", "hu", "und", "", None)] == ["ro", "de", "en", "fr", "other", None, None, None]
 
 
+def test_language_confidence_is_calibrated():
+    rng = random.Random(4)
+    pools = {k: langid.COMMON[k].split() for k in ("en", "fr", "de", "it")}
+    rows = []
+    for _ in range(900):
+        k = rng.choice(list(pools))
+        text = " ".join(rng.choice(pools[k]) for _ in range(rng.randrange(5, 12))) + "."
+        rows.append((text, rng.choice(list(pools)) if rng.random() < 0.1 else k, k))
+    dictionaries, scale = langid.fitted([(t, label) for t, label, _ in rows[:600]])
+    judge = langid.Classifier(dictionaries, scale=scale)
+    sure = [(judge(t), k) for t, _, k in rows[600:]]
+    right = [found == k for (found, c), k in sure if found]
+    mean = sum(c for (found, c), _ in sure if found) / len(right)
+    assert sum(right) >= 0.95 * len(right) and abs(mean - sum(right) / len(right)) < 0.1
+    assert langid.fitted([])[1] == 0.5
+
+
 def test_shortlist_changes_nothing():
     texts = [("Le conseil a vendu la maison et le jardin pour une somme inconnue.", "fr"), ("The council sold the house and the garden for an unknown sum.", "en"), ("Il consiglio ha venduto la casa e il giardino per una somma ignota.", "it"), ("El consejo vendió la casa y el jardín por una suma desconocida.", "es")]
     judge = langid.Classifier(langid.build(texts))
