@@ -112,27 +112,45 @@ def usable(word: str) -> bool:
     return len(word) >= 2 and not word.isdigit()
 
 
-def corrected(word: str, known: dict[str, int], rounds: int = 2) -> str | None:
-    """The word that ``word`` is a misreading of, or None."""
-    count = known.get(word, 0)
-    best, least = None, max(count * RATIO, LEAST_COUNT - 1)
-    pool = {word}
-    for _ in range(rounds):
-        fresh = set()
-        for w in pool:
-            for shape, letters in CONFUSIONS:
-                at = w.find(shape)
-                while at >= 0:
-                    fresh.add(w[:at] + letters + w[at + len(shape) :])
-                    at = w.find(shape, at + 1)
-        for v in fresh:
-            n = known.get(v, 0)
-            if n > least:
-                best, least = v, n
-        if best is not None or len(fresh) > 60:
-            return best
-        pool = fresh
-    return best
+_SHAPES = str.maketrans(dict(zip(*_SINGLE, strict=True)))
+
+
+def key_of(word: str) -> str:
+    """``confusion_key`` of one word: every letter stands for itself alone, so both sides of any number of confusions share it."""
+    key = word.translate(_SHAPES)
+    for a, b in _PLURAL:
+        key = key.replace(a, b)
+    return key
+
+
+def _variants(word: str, back: bool = False) -> set[str]:
+    """The words one confusion away: what ``word`` may be a misreading of, or with ``back`` what it may be misread as."""
+    out = set()
+    for shape, letters in CONFUSIONS:
+        if back:
+            shape, letters = letters, shape
+        at = word.find(shape)
+        while at >= 0:
+            out.add(word[:at] + letters + word[at + len(shape) :])
+            at = word.find(shape, at + 1)
+    return out
+
+
+def corrected(word: str, known: dict[str, int], alike: list[str], rounds: int = 2) -> str | None:
+    """The word that ``word`` is a misreading of, one confusion away, else two; None if there is none that is far more frequent.
+
+    ``alike`` holds the known words of its confusion key, so the search has no bound on a word's length: a word
+    two confusions away shares a step between with what it may be misread as.
+    """
+    least = max(known.get(word, 0) * RATIO, LEAST_COUNT - 1)
+    fit = [c for c in alike if c != word and known[c] > least]
+    if not fit:
+        return None
+    ahead = _variants(word)
+    near = [c for c in fit if c in ahead]
+    if not near and rounds > 1:
+        near = [c for c in fit if not ahead.isdisjoint(_variants(c, back=True))]
+    return max(near, key=lambda c: (known[c], c), default=None)
 
 
 class Reader:
@@ -145,6 +163,9 @@ class Reader:
     def __init__(self, known: dict[str, int], least: float = 0):
         self.known = known
         self.least = least
+        self.alike: dict[str, list[str]] = {}
+        for w in known:
+            self.alike.setdefault(key_of(w), []).append(w)
         self.memory: dict[str, str | None | bool] = {}
         self.answers: dict[str, tuple[int, str | None]] = {}
 
@@ -156,9 +177,9 @@ class Reader:
             if not usable(word):
                 right = None
             elif not self.least or word in self.known:
-                right = corrected(word, self.known)
+                right = corrected(word, self.known, self.alike.get(key_of(word), []))
             else:
-                right = corrected(word, self.known, 1)
+                right = corrected(word, self.known, self.alike.get(key_of(word), []), 1)
                 if right is None or self.known[right] < self.least * RATIO:
                     right = False
             self.memory[word] = right
@@ -362,8 +383,9 @@ def answered(words: DataFrame, counts: DataFrame) -> DataFrame:
             rows = []
             for words_, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 known = dict(known)
+                alike = list(known)
                 for w in words_:
-                    right = corrected(w, known) if usable(w) else None
+                    right = corrected(w, known, alike) if usable(w) else None
                     if right is not None or w in known:
                         rows.append((w, known.get(w, 0), right))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
