@@ -113,3 +113,32 @@ def context_keywords(df: DataFrame, key: str, text: str, most: int) -> DataFrame
 def all_urls(parts: list[DataFrame], url: str) -> DataFrame:
     """Every address of several results once, up to case and trailing slashes."""
     return reduce(DataFrame.unionByName, [p.select(dedupe_key(F.col(url)).alias("url")) for p in parts]).where("url is not null").distinct()
+
+
+def top_mentions(df: DataFrame, entity: str, most: int, query: list[str] | None = None, least: int = 3) -> DataFrame:
+    """(entity, n, high_value): the most mentioned entities, without those that hold a query term; three mentions make a high value."""
+    low = F.lower(F.trim(entity))
+    own = reduce(lambda a, b: a | b, [F.contains("entity", F.lit(t.lower())) for t in query or []], F.lit(False))
+    counts = df.select(low.alias("entity")).where(F.length("entity") > 2).where(~own).groupBy("entity").agg(F.count("*").alias("n"))
+    return counts.withColumn("high_value", F.col("n") >= least).orderBy(F.desc("n"), "entity").limit(most)
+
+
+def downloads_of(hits: DataFrame, kinds: list[str]) -> DataFrame:
+    """(query, url_key, extension, seq): results that are files of the given extensions, each query's first of equal addresses."""
+    from weftgraph.functions.urls import extension
+
+    files = hits.where(F.col("url").isNotNull()).withColumn("extension", extension(F.col("url"))).where(F.col("extension").isin(*kinds))
+    return files.groupBy("query", dedupe_key(F.col("url")).alias("url_key")).agg(F.first("extension").alias("extension"), F.min("seq").alias("seq"))
+
+
+def reseed_frontier(hits: DataFrame, seen: DataFrame, tries: int = 3, slots: int = 10) -> DataFrame:
+    """(query, url_key, score, rank): addresses not seen yet for every query asked again, at most ``tries`` a query and three times ``slots`` in all, by the better of address and search score."""
+    from weftgraph.functions.urls import url_relevance
+    from weftgraph.operators.ranking import search_score
+
+    rows = hits.where(F.col("url").isNotNull() & F.col("query").isNotNull()).withColumn("url_key", dedupe_key(F.col("url")))
+    fresh = rows.join(seen.select(dedupe_key(F.col("url")).alias("url_key")), "url_key", "left_anti")
+    score = F.greatest(url_relevance(F.col("url"), F.col("query")), 10 * F.coalesce(search_score(F.col("query"), F.col("url"), F.col("title")), F.lit(0.0)))
+    best = fresh.groupBy("query", "url_key").agg(F.max(F.round(score, 6)).alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "url_key"))).where(F.col("rank") <= tries)
+    return ranked.orderBy(F.desc("score"), "url_key", "query").limit(3 * slots)

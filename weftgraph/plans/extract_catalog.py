@@ -94,7 +94,7 @@ def date_hits(spark, d):
 
 
 @query(rf"""WITH {_M}, n AS (SELECT a.key, a.sent, a.text, b.text AS date, abs(b.start + length(b.text) / 2 - a.start - length(a.text) / 2) AS distance FROM m a JOIN m b ON a.key = b.key AND a.sent = b.sent AND b.label = 'DATE' AND a.label <> 'DATE')
- SELECT key, sent::INT AS sent, text, arg_min(date, (distance, date)) AS date, min(distance)::DOUBLE AS distance FROM n WHERE distance <= 50 GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY key, sent, text"))
+ SELECT key, sent::INT AS sent, text, arg_min(date, (distance, date)) AS date, min(distance)::DOUBLE AS distance FROM n WHERE distance <= 50 GROUP BY key, sent, text""")
 def dated_entities(spark, d):
     return extract.nearest_dates(_found(spark, d)[0])
 

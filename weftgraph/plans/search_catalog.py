@@ -93,3 +93,45 @@ def edge_hover(spark, d):
 def discovered_urls(spark, d):
     parts = [load(spark, d, "search_hits", "url"), load(spark, d, "content_item", "url"), load(spark, d, "provenance", F.col("source_url").alias("url"))]
     return tracking.all_urls(parts, "url")
+
+
+@query(r"""SELECT entity, count(*) AS n, count(*) >= 3 AS high_value FROM (SELECT lower(trim(unnest(entities))) AS entity FROM content_item) WHERE length(entity) > 2 AND NOT contains(entity, 'katherine') GROUP BY 1 ORDER BY n DESC, entity LIMIT 50""")
+def top_mentions(spark, d):
+    return tracking.top_mentions(load(spark, d, "content_item", F.explode("entities").alias("e")), "e", 50, ["Katherine"])
+
+
+@query(r"""SELECT query, regexp_replace(lower(url), '/+$', '') AS url_key, any_value(e) AS extension, min(seq) AS seq FROM (SELECT query, url, seq, regexp_extract(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '')), '(\.[^./]{1,4})$', 1) AS e FROM search_hits WHERE url IS NOT NULL) WHERE e IN ('.pdf', '.doc', '.docx', '.ppt', '.pptx', '.xls', '.xlsx') GROUP BY 1, 2""")
+def search_downloads(spark, d):
+    return tracking.downloads_of(load(spark, d, "search_hits", "query", "url", "seq"), [".pdf", ".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx"])
+
+
+@query()
+def reseed_frontier(spark, d):
+    return tracking.reseed_frontier(load(spark, d, "search_hits", "query", "url", "title").distinct(), load(spark, d, "provenance", F.col("source_url").alias("url")).where("url is not null"))
+
+
+@query(r"""WITH e AS (SELECT item_id, unnest(entities) AS x FROM content_item), w AS (SELECT DISTINCT x FROM e WHERE x IS NOT NULL AND regexp_matches(x, '^\p{Lu}\p{L}+( \p{Lu}\p{L}+){1,3}$') AND NOT regexp_matches(lower(x), '^the ')) SELECT w.x AS entity, 'page ' || max(item_id) AS label, count(*) AS n FROM e JOIN w ON e.x = w.x GROUP BY 1""")
+def merged_entities(spark, d):
+    from weftgraph.operators import pipeline
+
+    e = load(spark, d, "content_item", "item_id", F.explode("entities").alias("x")).where(F.col("x").rlike(r"^\p{Lu}\p{L}+( \p{Lu}\p{L}+){1,3}$") & ~F.lower("x").rlike("^the "))
+    return pipeline.merged_entities(e.withColumn("label", F.concat(F.lit("page "), "item_id")), "x", "label", "item_id")
+
+
+@query(r"""WITH c AS (SELECT item_id, url, lower(coalesce(content_type, '')) AS c, regexp_extract(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '')), '(\.[^./]{1,4})$', 1) AS e FROM content_item)
+ SELECT item_id, CASE WHEN e = '.pdf' OR contains(c, 'pdf') THEN 'pdf' WHEN e IN ('.doc', '.docx', '.odt', '.rtf', '.txt') OR contains(c, 'word') THEN 'text' WHEN e IN ('.xls', '.xlsx', '.ods', '.csv') OR contains(c, 'sheet') THEN 'sheet' WHEN e IN ('.ppt', '.pptx') THEN 'slides' WHEN e IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp', '.tiff') OR starts_with(c, 'image') THEN 'image' ELSE 'page' END AS kind FROM c""")
+def document_kinds(spark, d):
+    from weftgraph.operators import pages
+
+    return load(spark, d, "content_item", "item_id", "url", "content_type").select("item_id", pages.document_kind(F.col("url"), F.col("content_type")).alias("kind"))
+
+
+@query(r"""WITH p AS (SELECT item_id, trim(regexp_replace(regexp_replace(raw_content, '<[^>]*>', ' ', 'g'), '[\s\x{a0}]+', ' ', 'g')) AS t FROM content_item WHERE raw_content IS NOT NULL AND NOT regexp_matches(raw_content, '&(nbsp|lt|gt|quot|#39|amp);') AND NOT contains(raw_content, '<!--') AND NOT regexp_matches(raw_content, '(?i)<(script|style|noscript|template|title)'))
+ SELECT item_id, 'Page ' || item_id AS title, 'Page ' || item_id || ' ' || t AS text FROM p WHERE length('Page ' || item_id || ' ' || t) >= 100 AND NOT regexp_matches('page ' || item_id, '404|403|500') AND NOT list_bool_or(list_transform(['404 - page not found','error 404','404 not found','the page you are looking for','this page does not exist','page cannot be found','pagina nu poate fi gasita','aceasta pagina nu exista'], lambda w: contains(lower(substr('Page ' || item_id || ' ' || t, 1, 500)), w)))""")
+def page_contents(spark, d):
+    from weftgraph.operators import pages
+
+    r = F.col("raw_content")
+    c = load(spark, d, "content_item", "item_id", "raw_content").where(~r.rlike("&(nbsp|lt|gt|quot|#39|amp);") & ~F.contains(r, F.lit("<!--")) & ~r.rlike("(?i)<(script|style|noscript|template|title)"))
+    html = F.concat(F.lit("<html><head><title>Page "), "item_id", F.lit("</title></head><body><div>"), r, F.lit("</div></body></html>"))
+    return pages.page_content(c.withColumn("html", html), "item_id", "html")
