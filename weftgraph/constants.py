@@ -16,7 +16,6 @@ NAV_WORDS = [
 LABEL_PRIORITY = {"PERSON": 5, "ORG": 4, "GPE": 3, "LOC": 3, "EVENT": 2, "WORK_OF_ART": 2, "PRODUCT": 2, "DATE": 1, "EMAIL": 1, "PHONE": 1, "SOCIAL": 1, "DOCUMENT": 1, "UNKNOWN": 0}
 DISCOVERY_WEIGHT = {"PERSON": 3.0, "ORG": 2.5, "GPE": 2.0, "EVENT": 1.8, "NORP": 1.5, "FAC": 1.2, "LOC": 1.0}
 DOCUMENT_EXTENSIONS = [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".ods", ".rtf", ".csv", ".txt"]
-IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".webp", ".tiff", ".ico", ".raw", ".pdf"]
 SOURCE_PRIORITY = {"seed": 0, "google": 1, "bing": 2, "ddg": 3}
 #: (relation, triggers, pattern, unordered label pairs)
 RELATION_PATTERNS = [
@@ -65,13 +64,6 @@ PRONOUNS = {"person": ["he", "him", "his", "himself", "she", "her", "hers", "her
 TEMPORAL_WORDS = {"before": "before", "after": "after", "during": "during", "since": "since", "until": "until", "while": "during", "when": "at", "founded": "founded", "established": "established", "created": "created", "born": "born", "died": "died"}
 DATE_PATTERNS = [("year", r"\b(?:since|from|in|during|on)\s+(\d{4})\b"), ("range", r"\b((?:between|from)\s+\d{4}\s+(?:and|to)\s+\d{4})\b"), ("month_year", r"\b([A-Z][a-z]+\.?\s+\d{4})\b"), ("full_date", r"\b(\d{4}[-/]\d{2}[-/]\d{2})\b")]
 FACT_WORDS = ["born", "founded", "established", "died", "created"]
-PERSON_DORKS = [
-    '"{n}" "phone" OR "tel" OR "mobile" OR "cell"', '"{n}" "address" OR "location" OR "office"', '"{n}" inurl:in site:linkedin.com', '"{n}" inurl:pub site:linkedin.com', '"{n}" site:x.com',
-    '"{n}" site:twitter.com', '"{n}" site:facebook.com', '"{n}" site:github.com', '"{n}" site:instagram.com', '"{n}" CV OR resume OR curriculum filetype:pdf', '"{n}" filetype:pdf',
-    '"{n}" filetype:doc', '"{n}" filetype:docx', '"{n}" filetype:xlsx', '"{n}" filetype:csv', '"{n}" filetype:pptx', '"{n}" filetype:ppt', '"{n}" "confidential" OR "internal" OR "private" filetype:pdf',
-    'intitle:"index of" "{n}"', '"{n}" "staff" OR "team" OR "directory" OR "employee"', '"{n}" CEO OR CFO OR CTO OR director OR manager OR founder', '"{n}" biography OR profile OR background',
-    '"{n}" site:whitepages.com', '"{n}" site:spokeo.com', '"{n}" site:pipl.com', '"{n}" site:pastebin.com', '"{n}" news OR press OR interview after:2022-01-01',
-]
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 PHONE_PATTERN = r"\+?\d[\d\s().-]{6,}\d"
 SOCIAL_PATTERN = r"https?://(?:www\.)?(?:linkedin\.com/(?:in|company)/|x\.com/|twitter\.com/|facebook\.com/|instagram\.com/|github\.com/)[^\s\]\[)(<>\"']{2,}"

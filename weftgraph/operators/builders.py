@@ -62,6 +62,8 @@ SEARCHES = {
     "DOCUMENT": ["{n} filetype:pdf", "{n} report filetype:pdf", "{n} presentation filetype:pdf", "{n} research filetype:pdf site:edu", "{n} filetype:ppt", "{n} report filetype:ppt", "{n} presentation filetype:ppt", "{n} filetype:doc", "{n} report filetype:doc"],
     "OTHER": ["{n}"],
 }
+#: The person's templates that need no domain and no context.
+PERSON_DORKS = [t for t, site in DORKS["person"] if site is None and "{d}" not in t and "{c}" not in t]
 _TYPES = {"ORGANIZATION": "ORG", "LOC": "GPE", "LOCATION": "GPE"}
 
 

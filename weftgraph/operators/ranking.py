@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftgraph.constants import KEYWORD_STOP, PERSON_DORKS, RELATION_PATTERNS, RELATION_TYPES, SEARCH_STOP
+from weftgraph.constants import KEYWORD_STOP, RELATION_PATTERNS, RELATION_TYPES, SEARCH_STOP
 from weftgraph.functions.urls import dedupe_key
+from weftgraph.operators.builders import PERSON_DORKS
 
 
 def _list(words: list[str]) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftgraph.constants import LABEL_PRIORITY, NAV_WORDS, PERSON_DORKS, RELATION_PATTERNS, RELATION_TYPES, SOURCE_PRIORITY
+from weftgraph.constants import COMMON_WORDS, INVALID_WORDS, LABEL_PRIORITY, NAV_WORDS, RELATION_PATTERNS, RELATION_TYPES, SOURCE_PRIORITY
 from weftgraph.functions import text as tx
 from weftgraph.functions import urls
 from weftgraph.operators import contacts, evidence, graph, ranking, temporal
+from weftgraph.operators.builders import PERSON_DORKS
 from weftgraph.plans.registry import QUERIES as _QUERIES
 from weftgraph.plans.registry import SQL as _SQL
 from weftgraph.plans.registry import Query
@@ -66,7 +67,7 @@ def site_stats(spark, d):
  b AS (SELECT entity_text, regexp_replace(regexp_replace(regexp_replace(x, '\([^()]*\)', '', 'g'), '\[[^\[\]]*\]', '', 'g'), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS x FROM a),
  c AS (SELECT entity_text, regexp_replace(regexp_replace(regexp_replace(x, '[ ]*[''`´’][ ]*[A-Za-z0-9_]+$', ''), '\[[A-Za-z0-9_]+$', ''), '^[A-Za-z0-9_]+\]', '') AS x FROM b),
  e AS (SELECT entity_text, regexp_replace(regexp_replace(x, '[ \t\n\r\f]+', ' ', 'g'), '^ +| +$', '', 'g') AS x FROM c)
- SELECT entity_text, CASE WHEN length(x) >= 2 AND len(string_split(lower(x), ' ')) <= 8 AND len(list_filter(string_split(lower(x), ' '), lambda w: w NOT IN ({_quoted(__import__('weftgraph.constants', fromlist=['x']).INVALID_WORDS)}))) > 0
+ SELECT entity_text, CASE WHEN length(x) >= 2 AND len(string_split(lower(x), ' ')) <= 8 AND len(list_filter(string_split(lower(x), ' '), lambda w: w NOT IN ({_quoted(INVALID_WORDS)}))) > 0
    AND NOT regexp_matches(x, '[?!]|\.\.\.') AND regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN x END AS name FROM e""")
 def clean_names(spark, d):
     return load(spark, d, "wikidata_cache", "entity_text").where("entity_text is not null").distinct().select("entity_text", tx.clean_name(F.col("entity_text")).alias("name"))
@@ -92,7 +93,7 @@ def sorted_word_merge(spark, d):
 
 @_query(rf"""WITH w AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g'), '^ +| +$', '', 'g'), ' ') AS ws FROM documents WHERE text <> '')
  SELECT doc_id, round(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / length(text), 6) AS alpha_ratio,
-  round(len(list_filter(ws, lambda x: regexp_replace(x, '^[.,!?()\[\]{{}}]+|[.,!?()\[\]{{}}]+$', '', 'g') IN ({_quoted(__import__('weftgraph.constants', fromlist=['x']).COMMON_WORDS)}))) / len(ws), 6) AS common_ratio FROM w""")
+  round(len(list_filter(ws, lambda x: regexp_replace(x, '^[.,!?()\[\]{{}}]+|[.,!?()\[\]{{}}]+$', '', 'g') IN ({_quoted(COMMON_WORDS)}))) / len(ws), 6) AS common_ratio FROM w""")
 def text_quality(spark, d):
     alpha, common = tx.quality_ratios(F.col("text"))
     return load(spark, d, "documents", "doc_id", "text").where("text <> ''").select("doc_id", F.round(alpha, 6).alias("alpha_ratio"), F.round(common, 6).alias("common_ratio"))
