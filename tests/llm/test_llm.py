@@ -65,6 +65,18 @@ def test_near_duplicates_against_brute_force(spark, tmp_path):
     want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
     got = {(r.item_a, r.item_b) for r in neardup.p5_found(spark, str(tmp_path)).collect()}
     assert got <= want and len(got) >= 0.97 * len(want)
+    links = {r.item_id: r.n_links for r in neardup.p5_groups(spark, str(tmp_path)).collect()}
+    assert links == {i: sum(i in p for p in got) for i in sets}
+
+
+def test_near_duplicates_edges(spark, tmp_path):
+    same = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(f"v{i % 7000}" for i in range(120_000))
+    rows = [(1, same), (2, same), (3, None), (4, ""), (5, long), (6, long + " x"), (7, "a b"), (8, same.upper())]
+    spark.createDataFrame(rows, "item_id long, raw_content string").withColumn("bands", F.lit("clash")).write.parquet(str(tmp_path / "content_item.parquet"))
+    assert {(r.item_a, r.item_b) for r in neardup.p5_found(spark, str(tmp_path)).collect()} == {(1, 2), (1, 8), (2, 8), (5, 6)}
+    groups = {r.item_id: (r.rep, r.members, r.n_links) for r in neardup.p5_groups(spark, str(tmp_path)).collect()}
+    assert groups == {1: (1, 3, 2), 2: (1, 3, 2), 8: (1, 3, 2), 5: (5, 1, 1), 6: (6, 1, 1)}
 
 
 def test_site_lines(spark):
@@ -202,6 +214,38 @@ def test_scans():
     assert reader.damage([""]) == []
 
 
+def test_scans_planted():
+    rng = random.Random(15)
+    vocabulary = "council annual harbour budget railway meeting approved rejected museum company settlement committee morning number common former summer volume remain minister".split()
+    known = {w: 500 + 10 * i for i, w in enumerate(vocabulary)} | {"the": 90_000, "and": 50_000, "of": 80_000}
+    reader, want, got = scans.Reader(known), set(), set()
+    for doc in range(60):
+        lines = []
+        for page in range(3):
+            lines.append(f"THE HARBOUR REPORT OF ELVER    {page + 1}")
+            want.add((doc, len(lines) - 1, "header"))
+            for _ in range(8):
+                words = [rng.choice([*vocabulary, "the", "and", "of"]) for _ in range(9)]
+                if rng.random() < 0.3:
+                    k = rng.randrange(9)
+                    read = words[k].replace("m", "rn", 1)
+                    if read != words[k]:
+                        words[k] = read
+                        want.add((doc, len(lines), "ocr"))
+                lines.append(" ".join(words) + " and the")
+            lines.append(f"     - {page + 1} -")
+            want.add((doc, len(lines) - 1, "page"))
+        got |= {(doc, i, kind) for i, kind in reader.damage(lines)}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_long_words_are_corrected():
+    word = "internationalisierungsmoeglichkeitenkommission"
+    known = {word: 900}
+    reader = scans.Reader(known)
+    assert reader.fix(word.replace("m", "rn", 1)) == word and reader.fix(word.replace("mm", "rnrn")) == word and reader.fix(word) is None
+
+
 def test_scans_told_by_marks():
     page = ["the council met in the town hall again and the budget was app-", "roved there by a narrow majority of the second council in May"]
     assert scans.scanned([*page, "12"], "application/PDF") and not scans.scanned([*page[1:], "A short line."], "pdf")
