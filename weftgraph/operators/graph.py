@@ -41,28 +41,32 @@ def node_sizes(edges: DataFrame, least: float = 12.0, most: float = 34.0) -> Dat
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node and component, the smallest node of its component, by alternating large-star and small-star steps; an error if they do not settle in ``rounds``.
 
-    Each step is one aggregation; labels collapse in about log(n) rounds. A hub's neighbours are never
-    gathered: the minimum combines before the shuffle.
+    Nodes are numbered once, so the rounds move pairs of numbers whatever the names are. Each step is one
+    aggregation; labels collapse in about log(n) rounds. A hub's neighbours are never gathered: the minimum
+    combines before the shuffle.
     """
-    current = cut(undirected(edges, "src", "dst"))
+    simple = cut(undirected(edges, "src", "dst"))
+    numbered = cut(ends(simple).select("node").distinct().withColumn("id", F.monotonically_increasing_id()))
+    a, b = numbered.select(F.col("node").alias("src"), F.col("id").alias("a")), numbered.select(F.col("node").alias("dst"), F.col("id").alias("b"))
+    current = cut(simple.join(a, "src").join(b, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
     before = None
     for _ in range(rounds):
         both = ends(current)
         least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("m"))
-        large = both.join(least, "node").where(F.col("other") > F.col("node")).select(F.col("m").alias("src"), F.col("other").alias("dst")).where("src <> dst").distinct()
-        small_least = large.groupBy("dst").agg(F.min("src").alias("m"))
-        joined = large.join(small_least, "dst")
-        small = joined.select("m", "src").where("m <> src").unionByName(joined.select("m", F.col("dst").alias("src"))).select(F.col("m").alias("src"), F.col("src").alias("dst")).where("src <> dst").distinct()
-        current = cut(small.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        large = cut(both.join(least, "node").where(F.col("other") > F.col("node")).select(F.col("m").alias("src"), F.col("other").alias("dst")).where("src <> dst").distinct())
+        joined = large.join(large.groupBy("dst").agg(F.min("src").alias("m")), "dst")
+        pair = F.explode(F.array(F.struct(F.col("m").alias("src"), F.col("src").alias("dst")), F.struct(F.col("m").alias("src"), F.col("dst").alias("dst"))))
+        current = cut(joined.select(pair.alias("p")).select("p.src", "p.dst").where("src <> dst").distinct())
         state = current.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    nodes = ends(undirected(edges, "src", "dst")).select("node").distinct()
-    label = current.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("c"))
-    return nodes.join(label, "node", "left").select("node", F.coalesce("c", "node").alias("component"))
+    label = current.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("c"))
+    labelled = numbered.join(label, "id", "left").select("node", F.coalesce("c", "id").alias("c"))
+    names = labelled.groupBy("c").agg(F.min("node").alias("component"))
+    return labelled.join(names, "c").select("node", "component")
 
 
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

@@ -55,14 +55,15 @@ def content_relevance(df: DataFrame, key: str, text: str, vectors: DataFrame, ve
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, least: float) -> DataFrame:
     """(query, neighbour, cosine, rank): the ``k`` nearest vectors of every query above ``least``.
 
-    A stated query set against all rows: the queries are sent in blocks of a fixed number of rows, so what is
-    broadcast has a bound; the best of every block combine to the best of all.
+    A stated query set against all rows: the queries are sent in blocks of about BLOCK rows, parted by hash, so
+    what is broadcast does not grow with their number.
     """
     norm = lambda df: df.select(F.col(key).alias("id"), F.transform(vec, lambda x: x).alias("v"), F.sqrt(_dot(vec, vec)).alias("n"))
     v, q = norm(vectors), norm(queries).select(F.col("id").alias("query"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    blocks = q.withColumn("block", F.floor(F.row_number().over(W.orderBy("query")) / F.lit(BLOCK)))
+    n_blocks = int(queries.count() // BLOCK) + 1
+    blocks = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks)))
     parts = []
-    for b in range(int(queries.count() // BLOCK) + 1):
+    for b in range(n_blocks):
         pairs = v.join(F.broadcast(blocks.where(F.col("block") == b).drop("block")), F.col("id") != F.col("query"))
         scored = pairs.select("query", F.col("id").alias("neighbour"), F.round(_dot("v", "qv") / (F.col("n") * F.col("qn")), 6).alias("cosine")).where(F.col("cosine") > least)
         parts.append(scored)
