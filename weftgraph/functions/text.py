@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,24 +68,29 @@ def is_quality(text: Column) -> Column:
     return (F.length(text) >= 100) & (letters >= 0.5) & (common >= 0.05)
 
 
-def is_good_block(b: Column) -> Column:
-    """Content rather than page furniture: long enough, few symbols, digits and marks, no navigation words, not crowded with addresses. The cheap tests come first."""
+def is_good_block(b: Column, low: Column) -> Column:
+    """Content rather than page furniture: long enough, few symbols, digits and marks, no navigation words, not crowded with addresses. The cheap tests come first; ``low`` is the block in lower case."""
 
-    def count(block: Column, pattern: str) -> Column:
-        return F.length(block) - F.length(F.regexp_replace(block, pattern, ""))
+    def count(pattern: str) -> Column:
+        return F.length(b) - F.length(F.regexp_replace(b, pattern, ""))
 
-    low = F.lower(b)
-    crowded = ((count(b, "@") > 10) | (F.length(low) - F.length(F.replace(low, F.lit("http"), F.lit(""))) > 40)) & (count(b, r"\p{L}") < 30)
-    nav = low.rlike("|".join(re.escape(w) for w in NAV_WORDS))
-    dense = count(b, "[.,;:!?–—-]") > 2 * F.size(F.split(squeeze(b), " "))
-    symbols, digits = count(b, r"[\[\]{}()©®™|→←↑↓•·»«]") <= 0.15 * F.length(b), count(b, r"\p{Nd}") <= 0.4 * F.length(b)
+    nav = reduce(or_, [F.contains(low, F.lit(w)) for w in NAV_WORDS])
+    crowded = ((F.length(b) - F.length(F.replace(b, F.lit("@"), F.lit(""))) > 10) | (F.length(low) - F.length(F.replace(low, F.lit("http"), F.lit(""))) > 40)) & (count(r"\p{L}") < 30)
+    dense = count("[.,;:!?–—-]") > 2 * F.size(F.split(squeeze(b), " "))
+    symbols, digits = count(r"[\[\]{}()©®™|→←↑↓•·»«]") <= 0.15 * F.length(b), count(r"\p{Nd}") <= 0.4 * F.length(b)
     return (F.length(b) >= 40) & ~nav & symbols & digits & ~dense & ~crowded
 
 
 def good_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, b) of the blocks of a page that are content; blocks are rows before they are tested, so the tests are compiled."""
-    blocks = df.where(F.col(text).isNotNull()).select(key, F.explode(F.split(text, "\n\n")).alias("b")).select(key, strip(F.col("b")).alias("b"))
-    return blocks.where(is_good_block(F.col("b")))
+    """(key, b) of the blocks of a page that are content.
+
+    Blocks and their lower case are made once, below the row generator, so that the compiled tests read them
+    instead of making them again for every word.
+    """
+    pieces = lambda c: F.transform(F.split(c, "\n\n"), lambda x: strip(x))
+    pairs = F.arrays_zip(pieces(F.col(text)).alias("b"), pieces(F.lower(text)).alias("low"))
+    blocks = df.where(F.col(text).isNotNull()).select(key, F.explode(pairs).alias("p"))
+    return blocks.where(is_good_block(F.col("p.b"), F.col("p.low"))).select(key, F.col("p.b").alias("b"))
 
 
 def ascii_fold(name: str | Column) -> Column:

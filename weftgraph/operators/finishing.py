@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import real_url
 from weftgraph.operators import graph
+from weftgraph.runtime import cut
 
 #: Suffixes of images and files, and patterns of local paths and of addresses that are no web pages.
 FILE_SUFFIXES = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".webp", ".ico", ".tiff", ".tif", ".raw", ".heic", ".heif", ".pdf"]
@@ -102,8 +103,11 @@ def drop_weak(evidence: DataFrame, least: float, most_nodes: int | None = None)
 
 
 def finish(evidence: DataFrame, terms: list[str], nodes: DataFrame | None = None, labels: list[str] | None = None, least: float = 0.0) -> DataFrame:
-    """The whole chain: web evidence only, no files, no unrelated years, no unwanted labels, no weak edges."""
-    out = drop_years(drop_files(drop_local(evidence)), terms)
+    """The whole chain: web evidence only, no files, no unrelated years, no unwanted labels, no weak edges.
+
+    What the row-wise steps leave is written once, since the steps on nodes read it several times.
+    """
+    out = drop_years(cut(drop_files(drop_local(evidence))), terms)
     if nodes is not None and labels:
         out = drop_labels(out, nodes, labels)
     return drop_weak(out, least)
