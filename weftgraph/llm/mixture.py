@@ -23,7 +23,6 @@ listed twice counts as two documents with equal copies.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
