@@ -377,6 +377,18 @@ def test_cores_follow_to_the_end(spark):
     assert {r.canon for r in names.canonical_cores(counts).where("core like 'kama%' and kind = 'PERSON'").collect()} == {chain[-1]}
 
 
+def test_cores_follow_any_near_one(spark):
+    slip, true = "kamandilquezbron", "kamandulquezbron"
+    nearer = [slip[:-1] + x for x in "bcdfghklmprstv"]  # fourteen, whose cosine with the slip is higher
+    long = "brinov" * 25
+    counts = spark.createDataFrame(
+        [("PERSON", slip, 2), ("PERSON", true, 50), *(("PERSON", x, 1) for x in nearer), ("PLACE", "kohl", 9), ("PLACE", "kohll", 1), ("ORG", long, 9), ("ORG", long[:3] + "x" + long[3:], 1)], "kind string, core string, n long"
+    )
+    canon = {(r.kind, r.core): r.canon for r in names.canonical_cores(counts).collect()}
+    assert len(canon) == counts.count() and canon["PERSON", slip] == true and {canon["PERSON", x] for x in nearer} == {true}
+    assert canon["PLACE", "kohll"] == "kohl" and canon["ORG", long[:3] + "x" + long[3:]] == long
+
+
 def test_given_names_of_all_names(spark):
     rare = [(f"Oldrich Ka{a}{b}mandil",) for a in "abcd" for b in "efgh"] + [(f"Za{a}{b}{c}rin Qua{c}{b}{a}lin",) for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmnprstvz"]
     assert "oldrich" in names.frequent_names(spark.createDataFrame(rare, "name string")) and "quabablin" not in names.frequent_names(spark.createDataFrame(rare, "name string"))
