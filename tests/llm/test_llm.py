@@ -203,6 +203,15 @@ def test_shortlist_changes_nothing():
         assert judge(piece)[0] == whole(piece)[0], piece
 
 
+def test_confidence_weighs_every_language():
+    dictionaries = langid.build([("Le conseil a vendu la maison et le jardin pour une somme inconnue.", "fr"), ("The council sold the house and the garden for an unknown sum.", "en")])
+    judge = langid.Classifier(dictionaries, scale=0.05)
+    for piece in ("the council", "la maison et le jardin", "The council sold the house and the garden for an unknown sum. " * 3 + "x9q7 zvkj wqpf " * 40):
+        data = langid.folded(piece).encode()
+        sizes = [len(tool.compress(data)) for tool in judge.tools]
+        assert len(sizes) == len(langid.LANGUAGES) and abs(judge(piece)[1] - 1 / sum(2.0 ** (-0.05 * (n - min(sizes))) for n in sizes)) < 1e-12
+
+
 def test_scans():
     lines = ["THE OLD TITLE OF BOOK    4", "the council rejected the annua1 budget and the loan was app-", "roved by the second council in the town and the budget was", "THE OLD TITLE OF BOOK    5", "approved by a narrow majority of the council in the second", "    [6]"]
     known = {"annual": 900, "approved": 500, "budget": 400, "council": 800, "the": 9000}
