@@ -329,6 +329,21 @@ def test_pii():
     assert pii.find([sentence], empty) is not None and empty["report"]["labelled"] == 0
 
 
+def test_pii_learns_from_all_rows(spark):
+    rare = [f"Oldrich Kamand{x}escu signed the lease." for x in "aeiou"] + [f"Zdenka Brin{x}escu signed the lease." for x in "aeiou"]
+    texts = [t for t, _ in _sentences(14_000, 5)] + ["", *rare]  # more rows than the samples of before
+    rows = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)] + [("none", None)], "row_key string, text string").repartition(4)
+    model, lex = pii._model(rows), pii.Lexicon(texts[:14_000] + rare)
+    assert {"oldrich", "zdenka"} <= lex.given
+    assert (model["lexicon"].given, model["lexicon"].endings, model["lexicon"].plain) == (lex.given, lex.endings, lex.plain)
+    assert model["report"]["spans"] == sum(len(pii.candidates(t, lex.given)) for t in texts if t)
+    found = {(r.row_key, r.start_pos) for r in pii.spans(rows).where("kind = 'NAME'").collect()}
+    assert {(f"r{i}", 0) for i in range(14_001, len(texts))} <= found
+    clean = {r.row_key: r.text for r in pii.redacted(rows.where("text is not null")).collect()}
+    assert len(clean) == len(texts) and clean["r14000"] == "" and clean["r14001"] == "[NAME] signed the lease."
+    assert pii.spans(rows.limit(0)).count() == 0
+
+
 def test_pii_title_or_initial():
     spans = lambda t: {t[a:b] for k, a, b, _ in pii.candidates(t, {"maria"}) if k == pii.NAME}
     assert spans("M. Mibrenciletti can be reached") == {"M. Mibrenciletti", "Mibrenciletti"}

@@ -1,4 +1,4 @@
-"""Gradient-boosted trees on small integer features, trained on the driver from a bounded sample."""
+"""Gradient-boosted trees on small integer features, trained on the driver from a bounded sample or from counted rows."""
 
 from __future__ import annotations
 
@@ -38,16 +38,17 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: float,
     return feature, cut, -np.bincount(leaf, g, n) / (np.bincount(leaf, h, n) + l2)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, l2: float = 1.0) -> dict:
-    """Boosted logistic trees; a constant when there is one class only."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, l2: float = 1.0, w: np.ndarray | None = None) -> dict:
+    """Boosted logistic trees, a row counted ``w`` times; a constant when there is one class only."""
     x, y = np.clip(x, 0, BINS - 1).astype(np.int64), np.asarray(y, float)
-    share = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
+    w = np.ones(len(y)) if w is None else np.asarray(w, float)
+    share = np.clip((w * y).sum() / w.sum() if len(y) else 0.0, 1e-4, 1 - 1e-4)
     base = float(np.log(share / (1 - share)))
     trees, margin = [], np.full(len(y), base)
     if len(y) and 0 < y.sum() < len(y):
         for _ in range(rounds):
             p = sigmoid(margin)
-            feature, cut, value = _grow(x, p - y, np.maximum(p * (1 - p), 1e-6), depth, 1.0, l2)
+            feature, cut, value = _grow(x, w * (p - y), w * np.maximum(p * (1 - p), 1e-6), depth, 1.0, l2)
             trees.append((feature, cut, value * rate))
             margin += predict_one(x, *trees[-1])
     return {"base": base, "trees": trees}
