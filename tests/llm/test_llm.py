@@ -353,6 +353,24 @@ def test_pii_title_or_initial():
     assert pii.initial_m("M. Maria Stanescu signed", 0, 17, {"maria"}) == 1
 
 
+def test_pii_scores_each_distinct_row_once(monkeypatch):
+    texts = [t for t, _ in _sentences(800, 3)]
+    model = pii.train(texts)
+    found, scored, predict = pii.find(texts, model), [], pii.trees.predict
+    distinct = {tuple(pii.features(t, c, model["lexicon"])) for t in texts for c in pii.candidates(t, model["lexicon"].given)}
+    monkeypatch.setattr(pii.trees, "predict", lambda m, x: scored.append(len(x)) or predict(m, x))
+    assert pii.find(texts * 5, model) == found * 5 and sum(scored) == len(distinct)
+
+
+def test_pii_forms_of_spans():
+    spans = lambda t, kind: {t[a:b] for k, a, b, _ in pii.candidates(t, {"maria"}) if k == kind}
+    for t in ("Alte Gasse 3", "Hauptstraße 12", "C/Mayor 7", "12 rue Haute", "str. Lunga 4", "48 Orchard Lane"):
+        assert spans(f"{t}, 2014", pii.ADDRESS) == {t}
+    assert spans("aMaria Popescu, É. Ion-Dan Pop, Maria signed", pii.NAME) == {"Popescu, É. Ion-Dan Pop, Maria", "É. Ion-Dan Pop, Maria"}
+    text = "x12 34 567 89 met (40) 721 234 567 and RO 12345"
+    assert spans(text, pii.PHONE) == {"12 34 567 89", "(40) 721 234 567"} and spans(text, pii.ID) == {"12 34 567 89", "RO 12345"}
+
+
 def test_names():
     given = {"richard", "ursula", "francisco"}
     a, b = names.spelling("Prof. Richard Megolanquez", given)[0], names.spelling("Megolanquez, R.", given)[0]
