@@ -3,8 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from weftgraph.functions import clean, nearness
+from weftgraph.functions import text as tx
 from weftgraph.functions.urls import url_relevance
 from weftgraph.operators import builders, canonical, evidence, extract, finishing, pipeline, temporal, tracking, views
 from weftgraph.sources import caches, tables
@@ -92,6 +95,41 @@ def test_duplicate_groups_against_greedy(spark):
     assert canonical.duplicate_groups(df.limit(0), "name", "seq").count() == 0
 
 
+def test_similar_names_are_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    names = ["Popescu", "Mpopescu", "opesc", "a", "é", "b a", "a b", "", " ", "漢字", "漢字語", "Harbour\u00a0Trust", "trust harbour", "x" * 70, "x" * 69 + "y", "Иван Петров", "Ивам Метров"]
+    base = ["Maria Popescu", "Harbour Trust Ltd", "National Energy Agency of Elverin", "Petru Marin"]
+    for b in base * 12:
+        letters = list(b)
+        for _ in range(rng.randrange(4)):
+            letters[rng.randrange(len(letters))] = rng.choice("aeq é")
+        at = rng.randrange(len(b))
+        names += ["".join(letters), b[at : at + rng.randrange(1, 9)]]
+    names = list(dict.fromkeys(names))
+    rng.shuffle(names)
+    df = spark.createDataFrame(list(enumerate(names)), "seq int, name string")
+    forms = [r.form for r in df.orderBy("seq").select(clean.normalize_name(F.col("name")).alias("form")).collect()]
+    sims = [(i, j, s) for i in range(len(names) - 1) for j, s in enumerate(tx.name_similarity.func(pd.Series([forms[i]] * (len(names) - i - 1)), pd.Series(forms[i + 1 :])), i + 1)]
+    monkeypatch.setattr(canonical, "TILE", (16, 16))  # several tiles, also of one length
+    for least in (0.85, 0.6):
+        got = {(r.first, r.later): r.similarity for r in canonical.similar_names(df, "name", "seq", least).collect()}
+        assert got == {(names[i], names[j]): s for i, j, s in sims if s >= least}
+    assert got[tuple(sorted(("Popescu", "Mpopescu"), key=names.index))] > 0.9  # neither a word nor first letters in common
+
+
+def test_near_pairs_lose_none(monkeypatch):
+    monkeypatch.setattr(nearness, "ROWS", 7)
+    monkeypatch.setattr(nearness, "PAIRS", 11)
+    rng = random.Random(2)
+    a, b = (["".join(rng.choice("abc é漢") for _ in range(rng.choice((0, 1, 5, 6, 7, 20, 63, 64, 65, 80)))) for _ in range(60)] for _ in range(2))
+    b += [x[:-1] + "z" for x in a if x]
+    for least in (0.5, 0.85):
+        found = [(int(i), int(j)) for p, q in nearness.near_pairs(a, b, least) for i, j in zip(p, q, strict=True)]
+        assert len(found) == len(set(found))
+        assert set(found) >= {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x and y and SequenceMatcher(None, x, y).ratio() >= least}
+    assert not list(nearness.near_pairs([], b, 0.5)) and not [p for p, _ in nearness.near_pairs(["abcdef"], ["fedcba", "abcxyz"], 0.85) if len(p)]
+
+
 def test_canonicalize(spark):
     known = spark.createDataFrame([("Q1", "John Smith", ["J. Smith", None]), ("Q2", "J. Smith", None), (None, "x", [])], "qid string, name string, aliases array<string>")
     table = canonical.alias_table(canonical.register(known, "qid", ["name"], "aliases"))

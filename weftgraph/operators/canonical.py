@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftgraph.constants import LABEL_PRIORITY
-from weftgraph.functions import clean
+from weftgraph.functions import clean, nearness
 from weftgraph.functions import text as tx
 from weftgraph.operators import graph
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, ship
 
 
 def register(df: DataFrame, qid: str, names: list[str], aliases: str | None = None) -> DataFrame:
@@ -48,20 +49,88 @@ def merge_names(a: Column, a_known: Column, b: Column, b_known: Column) -> Colum
     return F.when(a_known & ~b_known, a).when(b_known & ~a_known, b).otherwise(F.when(F.length(b) > F.length(a), b).otherwise(a))
 
 
+#: What Python takes for blanks.
+BLANKS = r"(?U:[\s\x1c-\x1f]+)"
+#: Names of a tile that is compared with others, and the least number of tiles before these grow.
+TILE, TILES = (1024, 16384), 16
+#: Letters of the pieces by which contained names are found.
+PIECE = 5
+
+
+def _ratio_candidates(forms: DataFrame, lengths: list[tuple[int, int]], least: float) -> DataFrame:
+    """(f, g) of the forms whose ratio can be ``least`` or more; ``lengths`` has the number of forms of each length.
+
+    Forms of near lengths make up tiles. All tiles meet whose lengths allow that ratio, and in these every pair is
+    tried by bounds that lose none, so the work grows as the square of the number of forms, but a pair costs nanoseconds.
+    """
+    spark = forms.sparkSession
+    ship(spark)
+    size = min(TILE[1], max(TILE[0], sum(n for _, n in lengths) // TILES))
+    bands: list[list[tuple[int, int]]] = []
+    for length, n in sorted(lengths):
+        if not bands or sum(k for _, k in bands[-1]) >= size:
+            bands.append([])
+        bands[-1].append((length, n))
+    placed, tiles = [], []  # a band's first tile and number of tiles for each length; the lengths of each tile
+    for band in bands:
+        parts = -(-sum(n for _, n in band) // size)
+        placed += [(length, len(tiles), parts) for length, _ in band]
+        tiles += [(band[0][0], band[-1][0])] * parts
+    # the blocks are no longer than the shorter form
+    meets = [(a, b) for b, (low, _) in enumerate(tiles) for a, (_, high) in enumerate(tiles[: b + 1]) if high * (2 - least) >= least * low - 1e-6]
+    where = F.broadcast(spark.createDataFrame(placed, "l int, start int, parts int"))  # a row for each length
+    held = forms.withColumn("l", F.length("form")).join(where, "l").select((F.col("start") + F.pmod(F.xxhash64("form"), "parts")).alias("tile"), "form")
+    held = cut(held.groupBy("tile").agg(F.collect_list("form").alias("forms")))
+    both = spark.createDataFrame(meets, "a int, b int").join(held.select(F.col("tile").alias("a"), F.col("forms").alias("x")), "a").join(held.select(F.col("tile").alias("b"), F.col("forms").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b, x, y = (batch.column(c)[k].as_py() for c in ("a", "b", "x", "y"))
+                for i, j in nearness.near_pairs(x, y, least):
+                    if a == b:
+                        once = i < j
+                        i, j = i[once], j[once]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[p] for p in i], pa.string()), pa.array([y[p] for p in j], pa.string())], names=["f", "g"])
+
+    return both.repartition(max(spark.sparkContext.defaultParallelism * 2, len(meets) // 16)).mapInArrow(run, "f string, g string")
+
+
+def _part_candidates(forms: DataFrame, lengths: list[tuple[int, int]]) -> DataFrame:
+    """(f, g) of the forms f that g contains, as a string or by all of its words: both hold f's rarest piece, or its rarest word."""
+    none = F.array().cast("array<string>")
+    words = lambda c: F.split(c, BLANKS)
+    pieces = lambda n: F.when(F.length("form") >= n, F.transform(F.sequence(F.lit(1), F.length("form") - n + 1), lambda i: F.concat(F.lit("p"), F.substring("form", i, n)))).otherwise(none)
+    short = sorted(n for n, _ in lengths if 0 < n < PIECE)  # such forms are pieces as a whole
+    keys = F.concat(F.transform(words("form"), lambda w: F.concat(F.lit("w"), w)), *map(pieces, [PIECE, *short]))
+    held = cut(forms.where("form <> ''").select("form", F.explode(F.array_distinct(keys)).alias("key")))
+    counts = held.groupBy("key").agg(F.count("*").alias("n"))
+    # of a form's own pieces those of full length: others stand for shorter forms
+    own = held.where(F.col("key").startswith("w") | (F.length("key") - 1 == F.least(F.length("form"), F.lit(PIECE))))
+    rarest = own.join(counts, "key").groupBy("form", F.substring("key", 1, 1).alias("kind")).agg(F.min(F.struct("n", "key")).alias("r"))
+    rarest = rarest.where("r.n > 1").select(F.col("form").alias("f"), F.col("r.key").alias("key"))  # a key of its own: no other form contains it
+    part = F.contains("g", "f") | (F.size(F.array_except(words("f"), words("g"))) == 0)
+    return rarest.join(held.select(F.col("form").alias("g"), "key"), "key").where((F.col("f") != F.col("g")) & part).select("f", "g")
+
+
 def similar_names(df: DataFrame, name: str, seq: str, least: float = 0.85) -> DataFrame:
-    """(first, later, similarity) of the names whose similarity is at least ``least``, ``first`` with the smaller ``seq``.
+    """(first, later, similarity) of all names whose similarity is at least ``least``, ``first`` with the smaller ``seq``.
 
-    Names meet on a word, or on the sorted first letters of their words, so no two unrelated names are compared.
+    Distinct forms are compared instead of names. Candidates are all forms that are equal, that one contains, or whose
+    letters allow the ratio, so the similarity itself decides about every pair that can reach ``least``.
     """
-    rows = cut(df.select(F.col(name).alias("name"), F.col(seq).alias("seq"), clean.normalize_name(F.col(name)).alias("form")).where("form <> ''"))
-    words = F.array_distinct(F.split("form", " "))
-    initials = F.concat(F.lit("^"), F.array_join(F.array_sort(F.transform(words, lambda w: F.substring(w, 1, 1))), ""))
-    keyed = rows.select("name", "seq", "form", F.explode(F.array_append(words, initials)).alias("key"))
-    a, b = keyed.select("key", F.col("name").alias("first"), F.col("seq").alias("s1"), F.col("form").alias("f1")), keyed.select("key", F.col("name").alias("later"), F.col("seq").alias("s2"), F.col("form").alias("f2"))
-    # the ratio is at most twice the shorter length over both
-    near = a.join(b, "key").where((F.col("s1") < F.col("s2")) & (2 * F.least(F.length("f1"), F.length("f2")) >= (least - 0.1) * (F.length("f1") + F.length("f2"))) | ((F.col("s1") < F.col("s2")) & (F.contains("f1", "f2") | F.contains("f2", "f1"))))
-    pairs = near.select("first", "later", "s1", "s2", "f1", "f2").distinct()
-    return pairs.withColumn("similarity", tx.name_similarity("f1", "f2")).where(F.col("similarity") >= least).select("first", "later", "s1", "s2", "similarity")
+    form = F.regexp_replace(clean.normalize_name(F.col(name)), f"^{BLANKS}|{BLANKS}$", "")
+    rows = cut(df.select(F.col(name).alias("name"), F.col(seq).alias("seq"), form.alias("form")).where("form is not null"))
+    forms = cut(rows.groupBy("form").agg(F.count("*").alias("n")))
+    lengths = [(r.l, r.n) for r in forms.groupBy(F.length("form").alias("l")).agg(F.count("*").alias("n")).collect()]
+    single = forms.select("form")
+    some = _ratio_candidates(single, lengths, least).unionByName(_part_candidates(single, lengths))
+    met = cut(some.select(F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g")).distinct())
+    either = met.unionByName(met.select(F.col("g").alias("f"), F.col("f").alias("g"))).unionByName(forms.where("n > 1").select(F.col("form").alias("f"), F.col("form").alias("g")))
+    a, b = rows.select(F.col("name").alias("first"), F.col("seq").alias("s1"), F.col("form").alias("f")), rows.select(F.col("name").alias("later"), F.col("seq").alias("s2"), F.col("form").alias("g"))
+    near = either.join(a, "f").join(b, "g").where((F.col("s1") < F.col("s2")) & (F.col("first") != F.col("later")))
+    pairs = near.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return pairs.withColumn("similarity", tx.name_similarity("f", "g")).where(F.col("similarity") >= least).select("first", "later", "s1", "s2", "similarity")
 
 
 def duplicate_groups(df: DataFrame, name: str, seq: str, least: float = 0.85) -> DataFrame:
