@@ -10,6 +10,7 @@ from weftgraph.functions import clean, nearness
 from weftgraph.functions import text as tx
 from weftgraph.functions.urls import url_relevance
 from weftgraph.operators import builders, canonical, evidence, extract, finishing, pipeline, temporal, tracking, views
+from weftgraph.runtime import cut
 from weftgraph.sources import caches, tables
 
 
@@ -95,6 +96,31 @@ def test_duplicate_groups_against_greedy(spark):
     assert canonical.duplicate_groups(df.limit(0), "name", "seq").count() == 0
 
 
+def test_duplicate_groups_in_few_jobs(spark, monkeypatch):
+    rng = random.Random(6)
+    chain = [(i, i + 1) for i in range(30)]
+    late = [(0, 1), (1, 2), (2, 5), (4, 5)]  # 5 belongs to 2, which is a head only once 0 has absorbed 1
+    for pairs in (late, chain, sorted({tuple(sorted(rng.sample(range(25), 2))) for _ in range(60)})):
+        given = spark.createDataFrame([(f"n{a}", f"n{b}", a, b, 0.9) for a, b in pairs], "first string, later string, s1 int, s2 int, similarity double")
+        monkeypatch.setattr(canonical, "similar_names", lambda *_, given=given: given)
+        df = spark.createDataFrame([(i, f"n{i}") for i in range(32)], "seq int, name string")
+        want = {}
+        for i in range(32):
+            if want.setdefault(i, i) == i:
+                for j in range(i + 1, 32):
+                    if (i, j) in pairs:
+                        want.setdefault(j, i)
+        want = {(f"n{a}", f"n{b}", 1.0 if a == b else 0.9) for a, b in want.items()}
+        jobs = []
+        monkeypatch.setattr(canonical, "cut", lambda d: jobs.append(1) or cut(d))
+        got = [tuple(r) for r in canonical.duplicate_groups(df, "name", "seq").collect()]
+        assert len(got) == 32 and set(got) == want
+        assert len(jobs) == 2  # whatever the length of a chain
+        if pairs is not chain:
+            for at_once in (0, 20):  # rounds, or rounds and a pass
+                assert sorted(tuple(r) for r in canonical.duplicate_groups(df, "name", "seq", at_once=at_once).collect()) == sorted(want)
+
+
 def test_similar_names_are_all_pairs(spark, monkeypatch):
     rng = random.Random(4)
     names = ["Popescu", "Mpopescu", "opesc", "a", "é", "b a", "a b", "", " ", "漢字", "漢字語", "Harbour\u00a0Trust", "trust harbour", "x" * 70, "x" * 69 + "y", "Иван Петров", "Ивам Метров"]

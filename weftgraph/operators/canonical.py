@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from weftgraph.constants import LABEL_PRIORITY
@@ -129,27 +133,56 @@ def similar_names(df: DataFrame, name: str, seq: str, least: float = 0.85) -> Da
     either = met.unionByName(met.select(F.col("g").alias("f"), F.col("f").alias("g"))).unionByName(forms.where("n > 1").select(F.col("form").alias("f"), F.col("form").alias("g")))
     a, b = rows.select(F.col("name").alias("first"), F.col("seq").alias("s1"), F.col("form").alias("f")), rows.select(F.col("name").alias("later"), F.col("seq").alias("s2"), F.col("form").alias("g"))
     near = either.join(a, "f").join(b, "g").where((F.col("s1") < F.col("s2")) & (F.col("first") != F.col("later")))
-    pairs = near.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return pairs.withColumn("similarity", tx.name_similarity("f", "g")).where(F.col("similarity") >= least).select("first", "later", "s1", "s2", "similarity")
+    near = near.select("first", "later", "s1", "s2", "f", "g").repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    similarity = tx.name_similarity.func
+
+    def run(batches):  # not a column: Spark would work it out below the join for both orders, and twice
+        for batch in batches:
+            found = pa.array(similarity(batch.column("f").to_pandas(), batch.column("g").to_pandas()), pa.float64())
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("first", "later", "s1", "s2")), found], names=["first", "later", "s1", "s2", "similarity"])
+            yield out.filter(pc.greater_equal(found, least))
+
+    return near.mapInArrow(run, T.StructType([*near.schema.fields[:4], T.StructField("similarity", T.DoubleType())]))
+
+
+def _absorbed(pairs: DataFrame) -> DataFrame:
+    """(name, head, similarity) of the names that others absorb: one pass over the pairs in order of ``s1``, which holds only these names."""
+
+    def run(batches):
+        gone = set()
+        for batch in batches:
+            first, later, similarity = (batch.column(c).to_pylist() for c in ("first", "later", "similarity"))
+            out = []
+            for f, g, s in zip(first, later, similarity, strict=True):
+                if f not in gone and g not in gone:  # all names before f are decided, and so is f
+                    gone.add(g)
+                    out.append((g, f, s))
+            name, head, sim = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(head, pa.string()), pa.array(sim, pa.float64())], names=["name", "head", "similarity"])
+
+    return pairs.coalesce(1).sortWithinPartitions("s1", "first").select("first", "later", "similarity").mapInArrow(run, "name string, head string, similarity double")
 
 
-def duplicate_groups(df: DataFrame, name: str, seq: str, least: float = 0.85) -> DataFrame:
+def duplicate_groups(df: DataFrame, name: str, seq: str, least: float = 0.85, at_once: int = 2_000_000) -> DataFrame:
     """(name, head, similarity): in order of ``seq`` every name that is not absorbed heads a group and absorbs the later names similar to it.
 
-    Instead of going through the names one by one, each round settles all names without an earlier unsettled
-    similar one; the rounds are as many as the longest chain of such names.
+    While more than ``at_once`` pairs are open, each round finds as heads all names without an earlier open similar one;
+    the rounds are as many as the longest chain of such names. One ordered pass settles the rest.
     """
-    pairs = cut(similar_names(df, name, seq, least))
-    open_ = cut(df.select(F.col(name).alias("name")).distinct())
-    settled = None
-    while not open_.isEmpty():
-        live = pairs.join(open_.select(F.col("name").alias("first")), "first", "left_semi").join(open_.select(F.col("name").alias("later")), "later", "left_semi")
-        heads = cut(open_.join(live.select(F.col("later").alias("name")).distinct(), "name", "left_anti"))
-        absorbed = live.join(heads.select(F.col("name").alias("first")), "first", "left_semi").groupBy("later").agg(F.min(F.struct("s1", "first", "similarity")).alias("h"))
-        fresh = cut(heads.select("name", F.col("name").alias("head"), F.lit(1.0).alias("similarity")).unionByName(absorbed.select(F.col("later").alias("name"), F.col("h.first").alias("head"), F.col("h.similarity").alias("similarity"))))
-        settled = fresh if settled is None else settled.unionByName(fresh)
-        open_ = cut(open_.join(fresh.select("name"), "name", "left_anti"))
-    return settled if settled is not None else df.select(F.col(name).alias("name"), F.col(name).alias("head"), F.lit(1.0).alias("similarity"))
+    every = pairs = cut(similar_names(df, name, seq, least))
+    names = open_ = cut(df.select(F.col(name).alias("name")).distinct())
+    found = []
+    while pairs.count() > at_once:
+        heads = cut(open_.join(pairs.select(F.col("later").alias("name")).distinct(), "name", "left_anti"))
+        gone = pairs.join(heads.select(F.col("name").alias("first")), "first", "left_semi").select(F.col("later").alias("name"))
+        open_ = cut(open_.join(heads.unionByName(gone).distinct(), "name", "left_anti"))
+        pairs = cut(pairs.join(open_.select(F.col("name").alias("first")), "first", "left_semi").join(open_.select(F.col("name").alias("later")), "later", "left_semi"))
+        found.append(heads)
+    absorbed = _absorbed(pairs)
+    if found:  # a name that left in a round may still belong to an earlier head that was found after it
+        heads = reduce(DataFrame.unionByName, found, open_.join(absorbed, "name", "left_anti")).select(F.col("name").alias("first"))
+        absorbed = every.join(heads, "first", "left_semi").groupBy(F.col("later").alias("name")).agg(F.min(F.struct("s1", "first", "similarity")).alias("h")).select("name", F.col("h.first").alias("head"), F.col("h.similarity").alias("similarity"))
+    return names.join(absorbed, "name", "left").select("name", F.coalesce("head", "name").alias("head"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
 
 
 def priority(label: Column) -> Column:
